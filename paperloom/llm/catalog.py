@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .bpe import op6_bpe_round_trip
 from .quality_rules import op10_quality_rules
+from .secret_scan import op2_secret_scan
 
-QUERIES = {f.__name__: f for f in (op10_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op6_bpe_round_trip, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
