@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,11 @@ def bounded_batches(spark: SparkSession) -> None:
     """Let the session cut Arrow batches by bytes as well as by rows.
 
     Very long texts then can't make a batch larger than a worker's memory.
+    Workers are told where this package is, should they start elsewhere.
     """
+    root, env = str(Path(__file__).parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH"), root]))
     for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", 4096)):
         if (spark.conf.get(key, None) or "") != str(value):
             spark.conf.set(key, str(value))
