@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_map import map_batches
-from .session import cut, read_table
+from .session import cut, free_name, read_table
 from .skew import split_lookup
 
 LEAST_WORDS = 20
@@ -71,9 +71,9 @@ def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: i
     """``docs`` without the repeated units (each with one line break); all rows and columns stay."""
     names, kinds = docs.columns, {f.name: f.dataType for f in docs.schema}
     gone = repeats(docs, key=key, text=text, least=least)
-    spans = gone.select("row", "start", "end").distinct().groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone_spans"))
-    own = "gone_row"
-    met = docs.withColumn(own, row_hash(key, text)).join(spans.withColumnRenamed("row", own), own, "left").select(*[F.col(f"`{n}`") for n in names], "gone_spans")
+    own, cuts = free_name(docs, "gone_row"), free_name(docs, "gone_spans")
+    spans = gone.select("row", "start", "end").distinct().groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts))
+    met = docs.withColumn(own, row_hash(key, text)).join(spans.withColumnRenamed("row", own), own, "left").select(*[F.col(f"`{n}`") for n in names], cuts)
     at = names.index(text)
 
     def make():

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .arrow_map import bounded_batches, map_batches, schema_of
 from .components import components
-from .session import cut, read_table
+from .session import cut, free_name, read_table
 from .skew import split_lookup
 
 GOLAY = 0b110001110101  # generator polynomial of the [23, 12] code
@@ -284,20 +284,21 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
     columns stays; of equal rows one stays.
     """
     names = docs.columns
-    own = F.xxhash64(*[F.col(f"`{c}`") for c in names])
-    tagged = docs.withColumn("fp_row", own)
+    row, n = free_name(docs, "fp_row"), free_name(docs, "fp_n")
+    tagged = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in names]))
     kind = docs.schema[key].dataType.simpleString()
 
     def make():
         return lambda b: {"key": b.column(0), "row": b.column(2), "fp": np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)}
 
-    each = cut(map_batches(tagged.select(key, text, "fp_row"), make, f"key {kind}, row long, fp long"), "fingerprints")
+    each = cut(map_batches(tagged.select(key, text, row), make, f"key {kind}, row long, fp long"), "fingerprints")
     got = _group(each, "key")
-    chosen = got.groupBy("component").agg(F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("s")).select(F.col("s.row").alias("fp_row"))
-    counted = cut(chosen.join(each.select(F.col("row").alias("fp_row")), "fp_row").groupBy("fp_row").agg(F.count(F.lit(1)).alias("fp_n")), "chosen")
-    stay = tagged.join(counted, "fp_row", "inner")
-    once = stay.filter("fp_n = 1").select(*names)
-    more = stay.filter("fp_n > 1").dropDuplicates(["fp_row"]).select(*names)
+    chosen = got.groupBy("component").agg(F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("s")).select(F.col("s.row").alias(row))
+    counted = cut(chosen.join(each.select(F.col("row").alias(row)), row).groupBy(row).agg(F.count(F.lit(1)).alias(n)), "chosen")
+    stay = tagged.join(counted, row, "inner")
+    every = [F.col(f"`{c}`") for c in names]
+    once = stay.filter(F.col(n) == 1).select(*every)
+    more = stay.filter(F.col(n) > 1).dropDuplicates([row]).select(*every)
     return once.unionByName(more)
 
 
