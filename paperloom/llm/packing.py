@@ -20,12 +20,15 @@ packed each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -37,7 +40,7 @@ from .session import cut, read_table
 CAPACITY = 2048
 #: Chunks kept at once.
 KEPT = 400_000
-SIMPLE = re.compile("[!-~¡-ſ]+")
+SIMPLE = re.compile("[!-~¡-įı-ſ]+")
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -66,8 +69,9 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.letters = {b: c for c, b in byte_letters().items()}
-        self.letters = str.maketrans({chr(b): c for b, c in self.letters.items()})
+        letters = byte_letters()
+        self.letters = str.maketrans({chr(b): c for c, b in letters.items()})
+        self.ascii = self._ascii(json.loads(self.library.to_str())["model"]["vocab"], letters)
         self.words = _Kept(self._word)
         self.chunks = _Kept(self._chunk)
 
@@ -75,11 +79,31 @@ class WordIds:
     def _bytes(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
+    @staticmethod
+    def _ascii(vocab: dict[str, int], letters: dict[str, int]):
+        """The vocabulary's ASCII part as byte ranks; the high bit of a byte stands for the end of a word."""
+        ranks = {}
+        for token, i in vocab.items():
+            body = token.removesuffix("</w>")
+            b = bytes(letters[c] for c in body) if all(c in letters for c in body) else b""
+            if b and max(b) < 128 and not token.startswith("<|"):
+                ranks[b if body == token else b[:-1] + bytes([b[-1] | 128])] = i
+        return tiktoken.Encoding("words", pat_str="", mergeable_ranks=ranks, special_tokens={})._core_bpe
+
     def _word(self, word: str) -> bytes:
+        if word.isascii():
+            b = bytearray(word.encode())
+            b[-1] |= 128
+            return array("I", self.ascii.encode_single_piece(bytes(b))).tobytes()
         return self._bytes([t.id for t in self.library.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8", "surrogatepass")
+        if text.isascii() or SIMPLE.fullmatch(text):
+            if text.isalpha():
+                return self.words[text.lower()]
+            if text[-1] in ".,;:!?" and text[:-1].isalpha():
+                return self.words[text[:-1].lower()] + self.words[text[-1]]
         if SIMPLE.fullmatch(text) and "<|" not in text:
             return b"".join([self.words[w] for w in PIECE.findall(text.lower())])
         return self._bytes(self.library.encode(text, add_special_tokens=False).ids)
@@ -192,7 +216,7 @@ def place(frame: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most one row per length
     told = frame.sparkSession.sparkContext.broadcast(intervals(plan(counts, capacity)))
     names = [c for c in frame.columns if c not in ("nth", "block")]
-    ranked = frame.join(sizes.select("block", "length", "base"), ["block", "length"]).select(*names, (F.col("base") + F.col("nth")).alias("rank"))
+    ranked = frame.join(sizes.select("block", "length", "base").hint("merge"), ["block", "length"]).select(*names, (F.col("base") + F.col("nth")).alias("rank"))
     at = names.index("length")
 
     def make():
