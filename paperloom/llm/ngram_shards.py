@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .arrow_map import bounded_batches, schema_of
 
-BLOCK_TOKENS = 3_000_000
-SHARD_KEYS = 1_500_000
+BLOCK_TOKENS = 1_500_000
+SHARD_KEYS = 750_000
 #: Codes of the start and the end of a text; words follow.
 BOS, END = 0, 1
 HASH_OF = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
