@@ -4,8 +4,10 @@ The n-grams are those of the UTF-8 bytes of words between ASCII white space,
 a boundary byte standing before and after each word, so any text has a score
 and a word's probability doesn't depend on its neighbours. An n-gram of up to
 six bytes is exact in a 64-bit key. The model is trained on trusted text
-(labelled of good quality and not toxic): counts of the highest order, numbers
-of distinct left neighbours below it, three discounts an order.
+(labelled of good quality and not toxic; at most SAMPLE documents, so that
+their keys may be broadcast and no text is shuffled to meet its label): counts
+of the highest order, numbers of distinct left neighbours below it, three
+discounts an order.
 
 Scores come from sharded joins: documents are packed into blocks, a block asks
 for each distinct n-gram of its distinct words once, by messages to the shards
@@ -43,9 +45,11 @@ from .skew import split_lookup
 
 ORDER = 5
 EDGE = 10  # the line feed never occurs in a word
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS = 1_500_000
 SHARD_KEYS = 400_000
 MESSAGES = 48
+#: Most trusted documents that the model is trained on, those of least hash.
+SAMPLE = 10_000
 
 
 def spell(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,15 +129,21 @@ def train(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return cut(model, "model")
 
 
-def asked(words: list[bytes], order: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """For each order and kind the distinct ids and each byte's position among them; and where words start."""
+def longest(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of the highest order, sorted and distinct; each byte's position among them; and where words start.
+
+    All shorter n-grams and contexts are parts of these.
+    """
     flat, place = spell(words)
-    out = []
+    distinct, inverse = np.unique(grams(flat, place, order), return_inverse=True)
+    return distinct, inverse.astype(np.int32), np.flatnonzero(place == 0)
+
+
+def parts(keys: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For orders from 1 up the ids of the n-grams and of their contexts, for each key of the highest order."""
     for k in range(1, order + 1):
-        key = grams(flat, place, k)
-        for ids in (name(k, key), name(k, key >> np.uint64(8), True)):
-            out.append(np.unique(ids, return_inverse=True))
-    return out, np.flatnonzero(place == 0)
+        low = keys & np.uint64((1 << 8 * k) - 1)
+        yield name(k, low), name(k, low >> np.uint64(8), True)
 
 
 def scanned(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, list[list]]]:
@@ -179,7 +189,9 @@ def perplexities(docs: DataFrame, model: DataFrame, *, keep: list[str], text: st
         for block, words, *_ in scanned(batches, block_words):
             if not words:
                 continue
-            ids = np.unique(np.concatenate([d for d, _ in asked(words, order)[0]]))
+            flat, place = spell(words)
+            ids = np.concatenate([np.unique(x) for pair in parts(np.unique(grams(flat, place, order)), order) for x in pair])
+            ids.sort()
             to = shard_of(ids, shards)
             for s in range(shards):
                 part = ids[to == s]
@@ -259,23 +271,21 @@ def word_scores(words: list[bytes], ids: np.ndarray, known: np.ndarray, order: i
     """log10 probability and number of bytes (with the edge) of every word; ``known`` is NaN where the model has nothing."""
     if not words:
         return np.zeros(0), np.zeros(0, np.int64)
-    every, starts = asked(words, order)
-    p = None
-    for k in range(order):
-        values = []
-        for distinct, inverse in every[2 * k : 2 * k + 2]:
-            values.append(known[np.searchsorted(ids, distinct)][inverse])
-        alpha, gamma = np.nan_to_num(values[0], nan=0.0), np.nan_to_num(values[1], nan=1.0)
-        p = alpha + gamma * (p if p is not None else 1 / 256)
-    return np.add.reduceat(np.log10(p), starts), np.array([len(w) + 1 for w in words], np.int64)
-
-
-def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", upper: float = 0.99, spread: float = 2.0, least: int = 20, order: int = ORDER) -> DataFrame:
+    keys, inverse, starts = longest(words, order)
+    p = 1 / 256
+    for gram, context in parts(keys, order):
+        alpha = np.nan_to_num(known[np.searchsorted(ids, gram)], nan=0.0)
+        p = alpha + np.nan_to_num(known[np.searchsorted(ids, context)], nan=1.0) * p
+    return np.add.reduceat(np.log10(p)[inverse], starts), np.array([len(w) + 1 for w in words], np.int64)
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", upper: float = 0.99, spread: float = 2.0, least: int = 20, order: int = ORDER, sample: int = SAMPLE) -> DataFrame:
     """key, lang, n_bytes, log10_prob, perplexity, threshold, kept: one row per row of ``docs``."""
     good = labels.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("trusted")).filter("trusted").select(key)
     fold = F.pmod(F.xxhash64(F.col(key)), F.lit(2)) == 0
-    texts = docs.select(F.col(key), F.col(text).alias("text")).join(good, key, "left_semi")
-    model = train(texts.filter(fold).select("text"), order)
+    some = good.filter(fold).orderBy(F.xxhash64(F.col(key), F.lit(1)), key).limit(sample)
+    texts = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(some), key, "left_semi")  # at most ``sample`` keys
+    model = train(texts.select("text"), order)
     got = cut(perplexities(docs, model, keep=[key, lang], text=text, order=order), "perplexities")
     calm = got.filter(~fold & (F.col("n_bytes") > 0)).join(good, key, "left_semi")
     points = F.percentile_approx("perplexity", [0.5, upper], 10000).alias("q")

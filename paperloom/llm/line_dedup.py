@@ -73,7 +73,7 @@ def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: i
     gone = repeats(docs, key=key, text=text, least=least)
     own, cuts = free_name(docs, "gone_row"), free_name(docs, "gone_spans")
     spans = gone.select("row", "start", "end").distinct().groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts))
-    met = docs.withColumn(own, row_hash(key, text)).join(spans.withColumnRenamed("row", own), own, "left").select(*[F.col(f"`{n}`") for n in names], cuts)
+    met = docs.withColumn(own, row_hash(key, text)).join(spans.withColumnRenamed("row", own).hint("merge"), own, "left").select(*[F.col(f"`{n}`") for n in names], cuts)
     at = names.index(text)
 
     def make():

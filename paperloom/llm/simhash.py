@@ -295,7 +295,7 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
     got = _group(each, "key")
     chosen = got.groupBy("component").agg(F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("s")).select(F.col("s.row").alias(row))
     counted = cut(chosen.join(each.select(F.col("row").alias(row)), row).groupBy(row).agg(F.count(F.lit(1)).alias(n)), "chosen")
-    stay = tagged.join(counted, row, "inner")
+    stay = tagged.join(counted.hint("merge"), row, "inner")  # the same plan at every size
     every = [F.col(f"`{c}`") for c in names]
     once = stay.filter(F.col(n) == 1).select(*every)
     more = stay.filter(F.col(n) > 1).dropDuplicates([row]).select(*every)
