@@ -276,7 +276,7 @@ def test_search(spark):
 
 
 def test_pipeline(spark, make, odd):
-    good = lambda k: " ".join(f"the {x} of it" for x in (f"word{k}x{i}" for i in range(30)))
+    good = lambda k: " ".join(f"the word{k}x{i}" for i in range(30))
     shared = " ".join(f"shared{i} the" for i in range(30))
     texts = [good(1), good(1), good(2) + "\n" + shared, good(3) + "\n" + shared + "\ntoken=abcdefghijklmnop1", "junk", None, good(4).upper()]
     docs = make(texts)
