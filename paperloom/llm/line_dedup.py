@@ -1,74 +1,299 @@
-"""Repeated lines across documents: hash, group globally, keep the earliest.
-
-A unit is a line, normalised by lower-casing A-Z and making every run of
-ASCII white space one space; units of fewer than ``least`` words are left
-alone (short lines repeat by chance). Digests of 128 bits are grouped over all
-documents with a partial minimum before the shuffle. The occurrence of least
-(key, row hash, offset) stays, all others are removed; offsets into the
-original text (code points, end exclusive) are kept in the result. Hot digests
-are met by :func:`split_lookup`.
-
-Defined results: a null or empty text has no units; a null key ranks first;
-rows equal in key and text are one document, so they don't remove each other;
-other columns are ignored, or passed on by :func:`remove`; a text of which
-every unit is removed stays as what lies between them.
+"""Repeated lines and passages across documents: hash units, group globally, keep the earliest.
+
+Words are what stands between ASCII white space, A-Z lowered. Two kinds of
+units are digested. A line of at least ``least`` words is one. Passages that
+start and end inside lines have no line of their own, so windows of WINDOW
+words are units too: of every REACH windows in sequence the one of least
+digest is taken, a choice that a passage's own words decide wherever it
+stands. Of two equal passages of n words the same windows are thus taken, and
+they cover all but REACH - 1 words at either end at most. Repeated windows that
+overlap form a run; a run of RUN words or more is removed. Any passage of 50
+words or more has such a run, and nothing of less than RUN words is touched
+unless it is a whole line.
+
+Digests are grouped over all documents: texts are packed into blocks, a block
+reports each of its distinct digests once to the shard of that digest, with the
+least key that has it there, and a shard answers with the least key of all.
+So a passage that a third of all documents hold costs one entry a block and
+meets nowhere more often. The occurrence in the document of least key stays,
+all others are removed; within a document the first stays and later ones that
+don't overlap it are removed. Offsets into the original text (code points, end
+exclusive) are kept in the result. Digests have 64 bits; a false run needs
+several of its digests to collide.
+
+Defined results: keys are integers; a null key ranks first; rows of one key
+are one document, so they don't remove from each other; a null or empty text
+has no units; other columns are ignored, or passed on by :func:`remove`; a text
+of which everything repeats stays as what lies between.
 """
 
 from __future__ import annotations
 
-import xxhash
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow_map import map_batches
+from .arrow_map import bounded_batches, map_batches, schema_of
+from .ngram_shards import expand, mix, squeeze
 from .session import cut, free_name, read_table
-from .skew import split_lookup
 
 LEAST_WORDS = 20
+WINDOW, REACH, RUN = 16, 8, 36
+BLOCK_WORDS = 1_500_000
+SHARD_UNITS = 1_200_000
+#: Characters hashed at once.
+CHUNK = 1 << 20
+FIRST = -(1 << 63)
+BASE = 0x9E3779B97F4A7C15
+LINE, PASSAGE = 0, 1
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 to base**(n-1), modulo 2**64."""
+    return np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)], dtype=np.uint64)
+
+
+class _Sums:
+    """Polynomial hashes of many slices of an array: differences of prefix sums, brought to one scale."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(a) > len(self.up):
+            n = max(len(a), 2 * len(self.up))
+            self.up, self.down = _powers(BASE, n), _powers(pow(BASE, -1, 1 << 64), n)
+        total = np.r_[np.uint64(0), np.cumsum(a * self.up[: len(a)], dtype=np.uint64)]
+        return mix((total[ends] - total[starts]) * self.down[np.minimum(starts, max(0, len(a) - 1))], (ends - starts).astype(np.uint64))
+
+
+class Units:
+    """The units of texts."""
+
+    def __init__(self, least: int = LEAST_WORDS):
+        self.least, self.sums = least, _Sums()
+        letters = np.arange(128, dtype=np.uint32)
+        letters[65:91] += 32
+        self.lower = letters
+
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, start, end) of the words, and the positions of line breaks."""
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        blank = (code == 32) | ((code >= 9) & (code <= 13))
+        edge = np.flatnonzero(np.diff(np.r_[True, blank, True].astype(np.int8)))
+        starts, ends = edge[::2], edge[1::2]
+        hashes = np.empty(len(starts), np.uint64)
+        at = 0
+        while at < len(starts):  # whole words, about CHUNK characters of them
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK, side="right")))
+            a, b = starts[at], ends[to - 1]
+            part = code[a:b].copy()
+            small = part < 128
+            part[small] = self.lower[part[small]]
+            hashes[at:to] = self.sums((part.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), starts[at:to] - a, ends[at:to] - a)
+            at = to
+        return hashes, starts, ends, np.flatnonzero(code == 10)
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, ...]:
+        """(digest, start, end, first word, number of words, kind), lines first."""
+        h, s, e, breaks = self.words(text) if text else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+        n = len(h)
+        edges = np.r_[0, np.searchsorted(s, breaks), n]
+        some = np.flatnonzero(np.diff(edges) >= self.least)
+        a, b = edges[some], edges[some + 1]
+        begin, end = np.r_[0, breaks + 1], np.r_[breaks, len(text or "")]
+        first, digest = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        if n >= RUN:
+            w, k = h, 1
+            while k < WINDOW:
+                w = mix(w[:-k], w[k:])
+                k *= 2
+            taken = np.lib.stride_tricks.sliding_window_view(w, REACH).argmin(axis=1)
+            first = np.unique(taken + np.arange(len(taken)))
+            digest = w[first]
+        return (
+            np.r_[self.sums(h, a, b) ^ np.uint64(BASE), digest], np.r_[begin[some], s[first]], np.r_[end[some], e[first + WINDOW - 1]], np.r_[a, first],
+            np.r_[b - a, np.full(len(first), WINDOW)], np.r_[np.full(len(some), LINE), np.full(len(first), PASSAGE)],
+        )
+
+
+#: What is known of each unit, in the order of :class:`Units`, and how it is kept.
+FIELDS = (("digest", "u8"), ("start", "i8"), ("end", "i8"), ("first", "i4"), ("n", "i4"), ("kind", "u1"))
+
+
+def make_blocks(docs: DataFrame, *, key: str, text: str, least: int, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(block, n_units, keys, rows, sizes and the fields of units): texts by blocks of a bounded number of words."""
+    bounded_batches(docs.sparkSession)
+    kind, arrow = schema_of("n_units long, keys binary, rows binary, sizes binary, " + ", ".join(f"`{n}` binary" for n, _ in FIELDS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = Units(least)
+        keys: list[int] = []
+        rows: list[int] = []
+        got: list[tuple[np.ndarray, ...]] = []
+        held = 0
+
+        def done() -> pa.RecordBatch:
+            flat = [np.concatenate([g[i] for g in got]).astype(t) for i, (_, t) in enumerate(FIELDS)]
+            for i in (1, 2, 3):
+                flat[i] = np.diff(flat[i], prepend=flat[i].dtype.type(0))
+            sizes = np.array([len(g[0]) for g in got], np.int64)
+            cells = [len(flat[0]), squeeze(np.array(keys, np.int64)), squeeze(np.array(rows, np.int64)), squeeze(sizes), *map(squeeze, flat)]
+            return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, arrow, strict=True)], schema=arrow)
+
+        for b in batches:
+            for k, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                u = units(t)
+                if not len(u[0]):
+                    continue
+                keys.append(k)
+                rows.append(r)
+                got.append(u)
+                held += len(t) // 6
+                if held >= block_words:
+                    yield done()
+                    keys, rows, got, held = [], [], [], 0
+        if got:
+            yield done()
+
+    source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(FIRST)), row_hash(key, text), F.col(text))
+    return source.mapInArrow(run, kind).withColumn("block", F.monotonically_increasing_id())
 
 
 def row_hash(key: str, text: str):
     return F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
 
 
-def units(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """(key, row, start, end, n_words, digest): one row per unit of at least ``least`` words."""
+class Block:
+    """A block's units with their documents, and its distinct digests."""
 
-    def make():
-        def f(b):
-            keys, rows, at, ends, words, digests = [], [], [], [], [], []
-            for k, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                pos = 0
-                for line in t.split("\n") if t else ():
-                    w = line.encode("utf-8", "surrogatepass").lower().split()
-                    if len(w) >= least:
-                        keys.append(k)
-                        rows.append(r)
-                        at.append(pos)
-                        ends.append(pos + len(line))
-                        words.append(len(w))
-                        digests.append(xxhash.xxh3_128_digest(b" ".join(w)))
-                    pos += len(line) + 1
-            return {"key": keys, "row": rows, "start": at, "end": ends, "n_words": words, "digest": digests} if keys else None
+    def __init__(self, row: dict):
+        self.keys, self.rows, sizes = (expand(row[c], "i8") for c in ("keys", "rows", "sizes"))
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.digest, *rest, self.n, self.kind = (expand(row[n], t) for n, t in FIELDS)
+        self.start, self.end, self.first = (np.cumsum(x, dtype=x.dtype) for x in rest)
+        self.key = self.keys[self.doc]
+        self.order = np.lexsort((self.start, self.doc, self.key, self.digest))
+        d = self.digest[self.order]
+        self.heads = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.zeros(0, np.int64)
+        self.distinct = d[self.heads]
 
-        return f
+    def cuts(self, shards: int) -> np.ndarray:
+        edges = np.array([(i << 64) // shards for i in range(1, shards)], np.uint64)
+        return np.r_[0, np.searchsorted(self.distinct, edges), len(self.distinct)]
+
+
+def ask(blocks: DataFrame, shards: int) -> DataFrame:
+    """(shard, block, digests, least, more): each distinct digest of a block with its least key there, and whether others have it."""
+    kind, arrow = schema_of("shard long, block long, digests binary, least binary, more binary")
 
-    spec = f"key {docs.schema[key].dataType.simpleString()}, row long, start int, end int, n_words int, digest binary"
-    return map_batches(docs.select(F.col(key), row_hash(key, text), F.col(text)), make, spec)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                x = Block(row)
+                k = x.key[x.order]
+                least, most = k[x.heads], k[np.r_[x.heads[1:], len(k)] - 1]
+                cuts = x.cuts(shards)
+                for s in range(shards):
+                    at = slice(cuts[s], cuts[s + 1])
+                    if at.stop > at.start:
+                        cells = [s, row["block"], squeeze(np.diff(x.distinct[at], prepend=np.uint64(0))), squeeze(least[at]), squeeze((most > least)[at].astype("u1"))]
+                        yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, arrow, strict=True)], schema=arrow)
+
+    return blocks.mapInArrow(run, kind)
+
+
+def earliest(messages: DataFrame) -> DataFrame:
+    """(block, shard, hit, kept): which digests of each message several keys have, and the least of these keys."""
+    kind, arrow = schema_of("block long, shard long, hit binary, kept binary")
+
+    def tell(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        digests = [np.cumsum(expand(r["digests"], "u8"), dtype=np.uint64) for r in rows]
+        flat = np.concatenate(digests)
+        least, more = (np.concatenate([expand(r[c], t) for r in rows]) for c, t in (("least", "i8"), ("more", "u1")))
+        order = np.lexsort((least, flat))
+        d, k = flat[order], least[order]
+        heads = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+        last = np.r_[heads[1:], len(d)] - 1
+        hit = (k[last] > k[heads]) | (np.maximum.reduceat(more[order], heads) > 0)
+        sizes = last - heads + 1
+        shared, kept = np.empty(len(d), bool), np.empty(len(d), np.int64)
+        shared[order], kept[order] = np.repeat(hit, sizes), np.repeat(k[heads], sizes)
+        at = np.cumsum([len(x) for x in digests])[:-1]
+        out = [(r["block"], r["shard"], squeeze(h.astype("u1")), squeeze(x[h])) for r, h, x in zip(rows, np.split(shared, at), np.split(kept, at), strict=True)]
+        return pa.Table.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+    return messages.groupBy("shard").applyInArrow(tell, kind)
+
+
+def removed(x: Block, hit: np.ndarray, kept: np.ndarray, run: int = RUN) -> list[tuple[int, int, int, int, int]]:
+    """(document, start, end, words, key kept) of what goes, from what is known of each distinct digest."""
+    sizes = np.diff(np.r_[x.heads, len(x.order)])
+    group = np.repeat(np.arange(len(x.heads)), sizes)
+    order, doc, start = x.order, x.doc[x.order], x.start[x.order]
+    best = np.where(hit, kept, np.int64(0))[group]
+    later = hit[group] & (x.key[order] > best)
+    # The first occurrence in its own document, which the order puts at the head of each run of one document.
+    head = np.r_[True, (group[1:] != group[:-1]) | (doc[1:] != doc[:-1])]
+    own_end = x.end[order][np.flatnonzero(head)][np.cumsum(head) - 1]
+    again = ~head & (start >= own_end)
+    gone = np.zeros(len(order), bool)
+    whose = np.zeros(len(order), np.int64)
+    gone[order] = later | again
+    whose[order] = np.where(later, best, x.key[order])
+    i = np.flatnonzero(gone)
+    i = i[np.lexsort((x.first[i], x.kind[i], x.doc[i]))]
+    if not len(i):
+        return []
+    first, last, doc, kind = x.first[i], x.first[i] + x.n[i], x.doc[i], x.kind[i]
+    # Repeated windows that touch are one run; lines stay alone.
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (kind[1:] != PASSAGE) | (kind[:-1] != PASSAGE) | (first[1:] > last[:-1])]
+    a = np.flatnonzero(new)
+    b = np.r_[a[1:], len(i)] - 1
+    ok = (kind[a] == LINE) | (last[b] - first[a] >= run)
+    a, b = a[ok], b[ok]
+    found = sorted(zip(doc[a].tolist(), x.start[i][a].tolist(), x.end[i][b].tolist(), first[a].tolist(), last[b].tolist(), whose[i][a].tolist(), strict=True))
+    out: list[list[int]] = []
+    for d, s, e, f, t, k in found:
+        if out and out[-1][0] == d and s <= out[-1][2]:
+            out[-1][2], out[-1][4] = max(e, out[-1][2]), max(t, out[-1][4])
+        else:
+            out.append([d, s, e, f, t, k])
+    return [(d, s, e, t - f, k) for d, s, e, f, t, k in out]
 
 
 def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """One row per removed unit: (key, row, start, end, n_words, digest, kept_key, kept_start)."""
-    each = cut(units(docs, key=key, text=text, least=least), "units")
-    first = F.min(F.struct(F.col("key").alias("kept_key"), F.col("row").alias("kept_row"), F.col("start").alias("kept_start")))
-    best = each.groupBy("digest").agg(first.alias("k"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    best = cut(best.select("digest", "n", "k.*"), "earliest")
-    got = split_lookup(each, best, "digest", "n")
-    return got.filter("not (key <=> kept_key and row = kept_row and start = kept_start)").drop("kept_row")
+    """One row per removed part: (key, row, start, end, n_words, kept_key); parts of one text don't overlap."""
+    blocks = cut(make_blocks(docs, key=key, text=text, least=least), "units")
+    shards = max(1, -(-(blocks.agg(F.sum("n_units")).first()[0] or 0) // SHARD_UNITS))
+    replies = cut(earliest(ask(blocks, shards)), "earliest")
+    kind, arrow = schema_of("key long, row long, start int, end int, n_words int, kept_key long")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list] = [[] for _ in arrow]
+        by = {r["shard"]: r for r in right.to_pylist()}
+        for row in left.to_pylist():
+            x = Block(row)
+            told = [by[s] for s in sorted(by)]
+            hit = np.concatenate([expand(r["hit"], "u1") for r in told]).astype(bool)
+            kept = np.zeros(len(hit), np.int64)
+            kept[hit] = np.concatenate([expand(r["kept"], "i8") for r in told])
+            for d, s, e, n, k in removed(x, hit, kept):
+                for c, v in zip(out, (x.keys[d], x.rows[d], s, e, n, k), strict=True):
+                    c.append(int(v))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+
+    got = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(meet, kind)
+    null = lambda c: F.when(F.col(c) != FIRST, F.col(c)).alias(c)
+    return got.select(null("key"), "row", "start", "end", "n_words", null("kept_key"))
 
 
 def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` without the repeated units (each with one line break); all rows and columns stay."""
+    """``docs`` without the repeated parts (a whole line with its line break); all rows and columns stay."""
     names, kinds = docs.columns, {f.name: f.dataType for f in docs.schema}
     gone = repeats(docs, key=key, text=text, least=least)
     own, cuts = free_name(docs, "gone_row"), free_name(docs, "gone_spans")
@@ -82,8 +307,10 @@ def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: i
                 return t
             out, last = [], 0
             for s in spans:
-                out.append(t[last : s["start"]])
-                last = min(s["end"] + 1, len(t))
+                a, b = s["start"], s["end"]
+                out.append(t[last:a])
+                whole = (a == 0 or t[a - 1] == "\n") and t[b : b + 1] == "\n"
+                last = b + 1 if whole or (t[b : b + 1] == " " and t[a - 1 : a] == " ") else b
             return "".join([*out, t[last:]])
 
         def f(b):
@@ -97,4 +324,4 @@ def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: i
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = repeats(read_table(spark, sf_dir, "documents"))
-    return got.select(F.col("key").alias("doc_id"), "start", "end", "n_words", F.lower(F.hex("digest")).alias("digest"), F.col("kept_key").alias("kept_doc_id"), "kept_start")
+    return got.select(F.col("key").alias("doc_id"), "start", "end", "n_words", F.col("kept_key").alias("kept_doc_id"))

@@ -226,10 +226,16 @@ def test_split_lookup(spark, monkeypatch):
         assert len(got) == n and {(r.k, r.w) for r in got if r.w} == {("hot", "x"), ("cold", "y")}
 
 
-def test_line_dedup(make, odd):
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_UNITS", 20)
+    monkeypatch.setattr(line_dedup.make_blocks, "__kwdefaults__", line_dedup.make_blocks.__kwdefaults__ | {"block_words": 100})
+
+
+def test_line_dedup(make, odd, monkeypatch):
+    small_blocks(monkeypatch)
     r = random.Random(9)
     lines = [" ".join(f"x{r.randrange(9)}" for _ in range(r.choice([3, 8]))) for _ in range(30)]
-    texts = ["\n".join(r.choice(lines) + r.choice(["", " ", "\r"]) for _ in range(r.randint(0, 8))) for _ in range(60)] + [None, ""]
+    texts = ["\n".join(r.choice(lines) + r.choice(["", " ", "\r"]) for _ in range(r.randint(0, 4))) for _ in range(60)] + [None, ""]
     df = make(texts)
     seen, want, left = {}, set(), {}
     for i, t in enumerate(texts):
@@ -238,20 +244,74 @@ def test_line_dedup(make, odd):
             k = tuple(x.lower().split())
             gone = len(k) >= 5 and k in seen
             if gone:
-                want.add((i, pos, pos + len(x), *seen[k]))
+                want.add((i, pos, pos + len(x), len(k), seen[k]))
             elif len(k) >= 5:
-                seen[k] = (i, pos)
+                seen[k] = i
             keep += [] if gone else [x]
             pos += len(x) + 1
         left[i] = keep
     got = line_dedup.repeats(df, least=5).collect()
-    assert {(x.key, x.start, x.end, x.kept_key, x.kept_start) for x in got} == want and len(got) == len(want)
+    assert {(x.key, x.start, x.end, x.n_words, x.kept_key) for x in got} == want and len(got) == len(want)
     out = {x.doc_id: x.text for x in line_dedup.remove(df, least=5).collect()}
     assert line_dedup.remove(df, least=5).columns == df.columns
     assert all((out[i] or "").rstrip("\n") == "\n".join(left[i]).rstrip("\n") for i in range(len(texts)))
     assert line_dedup.remove(odd).count() == odd.count() and line_dedup.repeats(df.limit(0)).count() == 0
     same = line_dedup.repeats(odd, least=3).collect()
-    assert {x.key for x in same} == {6}  # the rows of id 7 are one document
+    assert {(x.key, x.kept_key) for x in same} == {(5, 5), (6, 5)}  # the long text repeats itself; the rows of id 7 are one document
+
+
+def test_passages(make, monkeypatch):
+    """Planted passages inside lines: all copies but the first go, but for a few words at the ends; the rest stays."""
+    small_blocks(monkeypatch)
+    r = random.Random(10)
+    some = lambda n: [r.choice("abcdefgh") + str(r.randrange(500)) for _ in range(n)]
+    passages = [some(n) for n in (50, 50, 51, 64, 120)]
+    texts, planted = [], []
+    for i in range(60):
+        w = some(r.randint(0, 90))
+        for n, k in enumerate(r.sample(range(5), r.choice([0, 0, 1, 2]))):
+            at = len(w) if n else r.randint(0, len(w))
+            w[at:at] = [x.upper() for x in passages[k]] if r.random() < 0.5 else passages[k]
+            planted.append((i, k))
+        texts.append("".join(x + r.choice([" ", " ", " ", "\n", "  "]) for x in w))
+    texts += [None, "", "é𝛼 " * 30, " ".join(some(30)), "go on " * 100, "Orre " * 200]
+    got = line_dedup.repeats(make(texts), least=1000).collect()
+    words = [[x.lower() for x in (t or "").split()] for t in texts]
+    where = {}
+    for i, w in enumerate(words):
+        for j in range(len(w) - line_dedup.WINDOW + 1):
+            where.setdefault(tuple(w[j : j + line_dedup.WINDOW]), (i, j))
+    gone = {}
+    for x in got:
+        before = len(texts[x.key][: x.start].split())
+        part = texts[x.key][x.start : x.end].lower().split()
+        assert x.n_words == len(part) >= line_dedup.RUN and part == words[x.key][before : before + len(part)]
+        for j in range(before, before + len(part) - line_dedup.WINDOW + 1):  # all that goes has an earlier equal
+            assert where[tuple(words[x.key][j : j + line_dedup.WINDOW])] < (x.key, j)
+        gone.setdefault(x.key, []).append((before, before + len(part)))
+    first = {}
+    for i, k in sorted(planted):
+        n = len(passages[k])
+        at = next(j for j in range(len(words[i])) if words[i][j : j + n] == passages[k])
+        covered = sum(max(0, min(b, at + n) - max(a, at)) for a, b in gone.get(i, []))
+        assert covered == 0 if first.setdefault(k, i) == i else covered >= n - 2 * (line_dedup.REACH - 1)
+    assert set(gone) <= {i for i, _ in planted} | {len(texts) - 2, len(texts) - 1} and {len(texts) - 2, len(texts) - 1} <= set(gone)
+    out = {x.doc_id: x.text for x in line_dedup.remove(make(texts), least=1000).collect()}
+    for i, t in enumerate(texts):
+        left = [w for j, w in enumerate(words[i]) if not any(a <= j < b for a, b in gone.get(i, []))]
+        assert (out[i] or "").lower().split() == left and (i in gone or out[i] == t)
+
+
+def test_passage_words_by_chunks(monkeypatch):
+    """Hashes don't depend on where long texts are cut."""
+    t = "".join(random.Random(3).choices("aA é\n\t𝛼b", k=3000)) + "x" * 300 + " y"
+    h = line_dedup.Units().words(t)
+    monkeypatch.setattr(line_dedup, "CHUNK", 64)
+    assert all((a == b).all() for a, b in zip(h, line_dedup.Units().words(t), strict=True))
+    by = {}
+    for x, s, e in zip(*h[:3], strict=True):
+        assert by.setdefault(x, t[s:e].encode().lower()) == t[s:e].encode().lower()
+    assert len(by) == len(set(by.values())) and [t[s:e] for s, e in zip(*h[1:3], strict=True)] == t.split()
 
 
 def test_search(spark):
