@@ -121,9 +121,9 @@ def first_run(df: DataFrame, key: str, order: str, number: str, start: int = 1)
 
 
 def dominant(df: DataFrame, key: str, value: str, weight: str, order: str) -> DataFrame:
-    """Per key the value of greatest total weight; ties go to the one seen first."""
+    """Per key the value of greatest total weight; ties go to the one seen first, then to the least."""
     sums = df.groupBy(key, value).agg(F.sum(weight).alias("w_"), F.min(order).alias("o_"))
-    return sums.groupBy(key).agg(F.max_by(value, F.struct("w_", (-F.col("o_")).alias("o_"))).alias(value))
+    return sums.groupBy(key).agg(F.min_by(value, F.struct((-F.col("w_")).alias("w_"), "o_", value)).alias(value))
 
 
 def join_if_unique(left: DataFrame, right: DataFrame, on: str, within: Sequence[str] = ()) -> DataFrame:
