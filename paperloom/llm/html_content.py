@@ -44,7 +44,7 @@ IN = re.compile(r"(?:^|[\s_-])(?:article\w*|main|content|story\w*|entry|post|bod
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 
 #: Log-odds of content.
-ODDS = {"start": -1.0, "inside": 6.0, "holder": 3.0, "apart": -14.0, "form": -8.0, "heading": 0.5, "p": 1.5, "li": -0.5, "long": 2.5, "middling": 1.0, "tiny": -1.0, "links": -4.0, "sentence": 0.7, "copyright": -3.0}
+ODDS = {"start": -1.0, "inside": 6.0, "holder": 3.0, "apart": -14.0, "form": -8.0, "title": 3.0, "heading": 0.5, "p": 1.5, "li": -0.5, "long": 2.5, "middling": 1.5, "tiny": -1.0, "links": -4.0, "sentence": 0.7, "copyright": -3.0}
 #: Prices of a difference: next to each other, and under the same grandparent.
 NEXT, FAR, NEAR = 0.8, 0.2, 0.6
 
@@ -59,6 +59,7 @@ class _Blocks(HTMLParser):
         self.linked = 0
         self.silent = 0
         self.links = 0
+        self.paragraphs = 0
 
     def standing(self, tag: str, attrs: list) -> str:
         above = self.stack[-1][2]
@@ -86,10 +87,10 @@ class _Blocks(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                path = [x for x in self.stack]
-                own = next((x for x in reversed(path) if x[0] in BLOCK), path[0])
-                at = path.index(own)
-                up = path[at - 1] if at else path[0]
+                at = len(self.stack) - 1
+                while at and self.stack[at][0] not in BLOCK:
+                    at -= 1
+                own, up = self.stack[at], self.stack[max(0, at - 1)]
                 self.blocks.append({"text": text, "tag": own[0], "standing": self.stack[-1][2], "parent": own[1], "up": up[1], "links": min(1.0, self.linked / max(1, len(text)))})
             self.parts, self.linked = [], 0
 
@@ -98,7 +99,7 @@ class _Blocks(HTMLParser):
             self.flush()
         elif tag == "br":
             self.parts.append(" ")
-        if tag in CLOSES_P and any(x[0] == "p" for x in self.stack):
+        if tag in CLOSES_P and self.paragraphs:
             self.close_to("p", ("table", "td", "th", "article", "section", "div", "body"))
         if tag == "li":
             self.close_to("li", ("ul", "ol", "menu"))
@@ -115,6 +116,8 @@ class _Blocks(HTMLParser):
             self.silent += 1
         elif tag == "a":
             self.links += 1
+        elif tag == "p":
+            self.paragraphs += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -134,10 +137,12 @@ class _Blocks(HTMLParser):
                 self.silent -= 1
             elif t == "a":
                 self.links -= 1
+            elif t == "p":
+                self.paragraphs -= 1
         del self.stack[i:]
 
     def handle_endtag(self, tag):
-        if tag == "p" and not any(x[0] == "p" for x in self.stack):
+        if tag == "p" and not self.paragraphs:
             self.flush()
             return
         for i in range(len(self.stack) - 1, 0, -1):
@@ -174,8 +179,9 @@ def odds(b: dict) -> float:
     """Log-odds of content of one block."""
     n = len(b["text"].split())
     x = ODDS["start"] + ODDS.get(b["standing"], 0.0)
-    x += ODDS["heading"] if b["tag"] in ("h1", "h2", "h3", "h4", "h5", "h6") else ODDS.get(b["tag"], 0.0) if b["tag"] in ("p", "li") else 0.0
-    x += ODDS["long"] if n >= 20 else ODDS["middling"] if n >= 8 else ODDS["tiny"] if n < 4 else 0.0
+    head = b["tag"] in ("h1", "h2", "h3", "h4", "h5", "h6")
+    x += ODDS["title"] if b["tag"] == "h1" else ODDS["heading"] if head else ODDS[b["tag"]] if b["tag"] in ("p", "li") else 0.0
+    x += ODDS["long"] if n >= 20 else ODDS["middling"] if n >= 8 else ODDS["tiny"] if n < 4 and not head else 0.0
     x += ODDS["links"] * b["links"]
     x += ODDS["sentence"] if b["text"][-1] in ".!?…\"'”’»" else 0.0
     x += ODDS["copyright"] if "©" in b["text"] or "all rights reserved" in b["text"].lower() else 0.0
