@@ -166,7 +166,7 @@ P = "<p>Some words that make up a long enough sentence for the article to go on.
         ("<body><header><h1>Site</h1></header><nav><a href=x>Menu</a></nav><main><h1>Title &amp; more</h1><p>First   <b>bold</b>\ntext of the main part of this page.<br>Line.</p><p>Short.</p></main><footer>End</footer></body>", "Title & more\n\nFirst bold text of the main part of this page. Line.\n\nShort."),
         (f"<article><h1>T</h1>{P}<aside>See also these many other things that we have written.</aside><div class='comments'>{P}</div><form><label>Your name</label><input></form></article>", "T\n\n" + re.sub("<.*?>", "", P)),
         (f"<div class='sidebar'>{P}</div><div id='content'><h2>T</h2>{P}</div><div class='cookie-notice'>{P}</div><div class='ad'>{P}</div>", "T\n\n" + re.sub("<.*?>", "", P)),
-        (f"<article>{P}<style>p{{}}</style><!-- c --><script>var t='</p>';</script><p hidden>{P}</article>", re.sub("<.*?>", "", P)),
+        (f"<article>{P}<style>p{{}}</style><!-- c --><script>var t='</p>';</script><p hidden>{P[3:]}</article>", re.sub("<.*?>", "", P)),
         ("<article><p><b>One two three<br><p>Four", "One two three\n\nFour"),
         (f"<body><h1>Title</h1>{P}<p>Short.</p></body>", "Title\n\n" + re.sub("<.*?>", "", P) + "\n\nShort."),
         (f"<div class='top'><a href=a>Home</a> | <a href=b>News</a></div><div class=c><h1>T</h1><div>{P[3:-4]}</div></div><div><a href=c>Terms</a> <a href=d>Privacy</a></div>", "T\n\n" + re.sub("<.*?>", "", P)),
