@@ -99,8 +99,8 @@ def looked_up(blocks: DataFrame, replies: DataFrame, order: int, shards: int, ke
             return pa.Table.from_batches([], schema=arrow)
         row = rows[0]
         block = S.read_block(row)
-        _, inverse, _, cuts = S.asked(block, order, np.array(row["train"], bool), shards)
-        totals = S.answers(right.to_pylist(), cuts)
+        found, inverse, _ = S.asked(block, order, np.array(row["train"], bool))
+        totals = S.answers(right.to_pylist(), found, shards)
         where = np.unique(block.vocab, return_inverse=True)[1]
         grams = [S.small(t[i]) for t, i in zip(totals[1:], inverse[1:], strict=True)]
         cells = [row["sizes"], row["train"], row["codes"], S.squeeze(totals[0][where]), grams, *[row[c] for c in keep]]

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_map import bounded_batches, map_batches, schema_of
-from .ngram_shards import expand, mix, squeeze
+from .ngram_shards import by_shard, expand, mix, squeeze
 from .session import cut, free_name, read_table
 
 LEAST_WORDS = 20
@@ -181,10 +181,6 @@ class Block:
         self.heads = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.zeros(0, np.int64)
         self.distinct = d[self.heads]
 
-    def cuts(self, shards: int) -> np.ndarray:
-        edges = np.array([(i << 64) // shards for i in range(1, shards)], np.uint64)
-        return np.r_[0, np.searchsorted(self.distinct, edges), len(self.distinct)]
-
 
 def ask(blocks: DataFrame, shards: int) -> DataFrame:
     """(shard, block, digests, least, more): each distinct digest of a block with its least key there, and whether others have it."""
@@ -196,12 +192,9 @@ def ask(blocks: DataFrame, shards: int) -> DataFrame:
                 x = Block(row)
                 k = x.key[x.order]
                 least, most = k[x.heads], k[np.r_[x.heads[1:], len(k)] - 1]
-                cuts = x.cuts(shards)
-                for s in range(shards):
-                    at = slice(cuts[s], cuts[s + 1])
-                    if at.stop > at.start:
-                        cells = [s, row["block"], squeeze(np.diff(x.distinct[at], prepend=np.uint64(0))), squeeze(least[at]), squeeze((most > least)[at].astype("u1"))]
-                        yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, arrow, strict=True)], schema=arrow)
+                for s, (at,) in by_shard([x.distinct], shards):
+                    cells = [s, row["block"], squeeze(np.diff(x.distinct[at], prepend=np.uint64(0))), squeeze(least[at]), squeeze((most > least)[at].astype("u1"))]
+                    yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, arrow, strict=True)], schema=arrow)
 
     return blocks.mapInArrow(run, kind)
 

@@ -14,7 +14,7 @@ of about one n-gram in a billion at a billion distinct n-grams.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -142,11 +142,19 @@ def read_block(row: dict) -> Block:
     return Block(expand(row["codes"], "i4"), expand(row["sizes"], "i4").astype(np.int64), np.frombuffer(row["vocab"], np.uint64))
 
 
-def asked(block: Block, order: int, flags: np.ndarray, shards: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """For each order: sorted distinct keys, the position of each token's key, trained counts, and where each shard starts."""
+def by_shard(sorted_keys: list[np.ndarray], shards: int) -> Iterator[tuple[int, list[slice]]]:
+    """The shards that hold any of the keys (ranges of the 64 bits, by the upper 32), and where in each array."""
+    to = [(k >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32) for k in sorted_keys]
+    some = np.unique(np.concatenate([np.unique(t) for t in to]))
+    starts, ends = ([np.searchsorted(t, some, side=side) for t in to] for side in ("left", "right"))
+    for i, s in enumerate(some.tolist()):
+        yield s, [slice(int(a[i]), int(b[i])) for a, b in zip(starts, ends, strict=True)]
+
+
+def asked(block: Block, order: int, flags: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """For each order: sorted distinct keys, the position of each token's key, and trained counts."""
     trained = np.repeat(flags, block.sizes)
-    found, inverses, counts, cuts = [], [], [], []
-    edges = np.array([(i << 64) // shards for i in range(1, shards)], np.uint64)
+    found, inverses, counts = [], [], []
     for k, keys in enumerate(block.keys(order)):
         if k == 0:
             distinct, where = np.unique(block.vocab, return_inverse=True)
@@ -156,8 +164,7 @@ def asked(block: Block, order: int, flags: np.ndarray, shards: int) -> tuple[lis
         found.append(distinct)
         inverses.append(inverse)
         counts.append(np.bincount(inverse[trained], minlength=len(distinct)))
-        cuts.append(np.r_[0, np.searchsorted(distinct, edges), len(distinct)])
-    return found, inverses, counts, cuts
+    return found, inverses, counts
 
 
 def ask(blocks: DataFrame, order: int, shards: int, counted: bool = True) -> DataFrame:
@@ -167,12 +174,9 @@ def ask(blocks: DataFrame, order: int, shards: int, counted: bool = True) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                found, _, counts, cuts = asked(read_block(row), order, np.array(row["train"], bool), shards)
-                for s in range(shards):
-                    parts = [slice(c[s], c[s + 1]) for c in cuts]
+                found, _, counts = asked(read_block(row), order, np.array(row["train"], bool))
+                for s, parts in by_shard(found, shards):
                     sizes = [p.stop - p.start for p in parts]
-                    if not sum(sizes):
-                        continue
                     keys = np.concatenate([np.diff(d[p], prepend=np.uint64(0)) for d, p in zip(found, parts, strict=True)])
                     n = small(np.concatenate([c[p] for c, p in zip(counts, parts, strict=True)])) if counted else b""
                     cells = [s, row["block"], sizes, squeeze(keys), n]
@@ -224,15 +228,13 @@ def add_up(messages: DataFrame) -> DataFrame:
     return messages.groupBy("shard").applyInArrow(total, kind)
 
 
-def answers(replies: list[dict], cuts: list[np.ndarray], unpack: Callable[[bytes, int], np.ndarray] = large) -> list[np.ndarray]:
+def answers(replies: list[dict], found: list[np.ndarray], shards: int) -> list[np.ndarray]:
     """Replies to one block, put together per order in the order of its keys."""
     by = {r["shard"]: r for r in replies}
-    out: list[list[np.ndarray]] = [[] for _ in cuts]
-    for s in range(len(cuts[0]) - 1):
-        sizes = [int(c[s + 1] - c[s]) for c in cuts]
-        if sum(sizes):
-            got, at = unpack(by[s]["totals"], sum(sizes)), 0
-            for o, n in zip(out, sizes, strict=True):
-                o.append(got[at : at + n])
-                at += n
+    out: list[list[np.ndarray]] = [[] for _ in found]
+    for s, parts in by_shard(found, shards):
+        got, at = large(by[s]["totals"], 0), 0
+        for o, p in zip(out, parts, strict=True):
+            o.append(got[at : at + p.stop - p.start])
+            at += p.stop - p.start
     return [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
