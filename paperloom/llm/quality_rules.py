@@ -158,3 +158,35 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_lines", "n_capitals", "n_stop_words", "failed_rules",
     )
+
+
+def _sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The query's rows in DuckDB's SQL; windows by self-counting instead of sorted hashes."""
+    ratios = {
+        "mean_word_chars": ("word_chars", "n_words"), "symbol_ratio": ("n_symbols", "n_words"), "repeat_ratio": ("n_repeat_words", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines"),
+        "capital_ratio": ("n_capitals", "word_chars"), "stop_word_ratio": ("n_stop_words", "n_words"), "bullet_ratio": ("n_bullets", "n_lines"), "ellipsis_ratio": ("n_ellipses", "n_lines"),
+    }
+    failed = []
+    for x in rules:
+        a, b = ratios[x.metric]
+        value = f"(CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0 END)"
+        sides = [f"{value} < {x.least}"] * (x.least is not None) + [f"{value} > {x.most}"] * (x.most is not None)
+        failed.append(f"CASE WHEN {' OR '.join(sides)} THEN '{x.name}' END")
+    blank = r"[\x20\x09-\x0D]"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT row, doc_id, t, [x FOR x IN string_split_regex(t, '{blank}+') IF x <> ''] AS w,
+        [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS l FROM d),
+    g AS (SELECT row, i, count(*) OVER (PARTITION BY row, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+    r AS (SELECT row, count(DISTINCT k) AS n_repeat_words FROM (SELECT row, unnest([i, i + 1, i + 2]) AS k FROM g WHERE n > 1) GROUP BY row),
+    m AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '{blank}+', '', 'g')) AS word_chars, length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols,
+        len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) AS n_capitals,
+        len([x FOR x IN w IF lower(x) IN ({", ".join(f"'{x}'" for x in STOP_WORDS)})]) AS n_stop_words, len([x FOR x IN l IF regexp_matches(x, '^{blank}*[-*•‣◦]')]) AS n_bullets,
+        len([x FOR x IN l IF regexp_matches(x, '(\\.\\.\\.|…){blank}*$')]) AS n_ellipses FROM w LEFT JOIN r USING (row)),
+    v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, concat_ws(',', {", ".join(failed)}) AS failed_rules FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, n_lines, n_capitals, n_stop_words, failed_rules FROM v
+    """
+
+
+#: op10_quality_rules in DuckDB's SQL.
+SQL = _sql()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import math
+import os
 import random
 import zlib
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from paperloom.llm import components, deleted_interpolation, kneser_ney, line_dedup, maxscore, ngram_shards, simhash, skew
-from paperloom.llm.catalog import QUERIES
+from paperloom.llm.catalog import ORACLES, QUERIES
 
 
 def corpus(n, seed=0, words=60):
@@ -356,5 +357,20 @@ def test_pipeline(spark, make, odd):
             assert stage(spark, frame, "").count() >= 0
 
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_same_as_sql(spark, name):
+    con = pytest.importorskip("duckdb").connect()
+    for f in os.listdir(DATA):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM read_parquet('{DATA}/{f}')")
+    got = QUERIES[name](spark, DATA)
+    names = sorted(got.columns)
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, want)) and want
+
+
 def test_queries_are_registered():
     assert sorted(QUERIES) == sorted(["pipeline", *(n for n in QUERIES if n.startswith("op"))]) and len(QUERIES) == 11
