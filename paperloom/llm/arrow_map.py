@@ -33,7 +33,7 @@ def schema_of(spec: str | StructType) -> tuple[StructType, pa.Schema]:
     return kind, to_arrow_schema(kind)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], spec: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], spec: str | StructType) -> DataFrame:
     """``mapInArrow`` with state per task: ``make()`` runs once in each task and
     returns the function from a batch to columns (a dict of lists or arrays)."""
     bounded_batches(df.sparkSession)
@@ -43,6 +43,6 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
         f = make()
         for b in batches:
             if b.num_rows and (out := f(b)) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c := out[x.name], pa.Array) and c.type == x.type else pa.array(c, x.type) for x in arrow], schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, kind)  # any names will do

@@ -6,8 +6,8 @@ seen in training (buckets by powers of two). The weights are learned by
 expectation-maximisation on held-out counts: every trained token in turn is
 left out of the counts and predicted from the rest. That evidence is gathered
 over all trained tokens as a histogram whose cells are the bucket and the
-ratios of the estimates in half octaves, so it has a bounded number of rows;
-the scores themselves use the exact counts.
+ratios of the estimates in octaves, with their mean logarithms, so it has a
+bounded number of rows; the scores themselves use the exact counts.
 
 Counts are gathered and looked up as in :mod:`.ngram_shards`.
 
@@ -31,8 +31,9 @@ from .arrow_map import schema_of
 from .session import cut, read_table
 
 BUCKETS = 48
-#: Ratios to the uniform share are told apart by half octaves up to 2**STEPS/2.
-STEPS = 120
+#: Ratios to the uniform share are told apart by octaves; a third of the STEPS are below one.
+STEPS = 60
+ORDER = 3
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -45,24 +46,21 @@ def estimates(grams: list[np.ndarray], contexts: list[np.ndarray], left_out: int
     return [np.maximum(g - left_out, 0) / np.maximum(c - left_out, 1) for g, c in zip(grams, contexts, strict=True)]
 
 
-def step(ratio: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        return np.where(ratio > 0, 1 + np.clip(np.rint(2 * np.log2(np.where(ratio > 0, ratio, 1))) + STEPS // 3, 0, STEPS - 1), 0).astype(np.int64)
+def step(logs: np.ndarray) -> np.ndarray:
+    """The octave of a ratio from its logarithm, 0 for a ratio of zero."""
+    return np.where(np.isneginf(logs), 0, 1 + np.clip(np.rint(np.where(np.isneginf(logs), 0, logs)) + STEPS // 3, 0, STEPS - 1)).astype(np.int64)
 
 
-def unstep(k: np.ndarray) -> np.ndarray:
-    return np.where(k > 0, 2.0 ** ((k - 1 - STEPS // 3) / 2), 0.0)
-
-
-def learn(cells: np.ndarray, counts: np.ndarray, order: int, rounds: int = 200, tiny: float = 1e-6) -> np.ndarray:
+def learn(buckets: np.ndarray, ratios: np.ndarray, counts: np.ndarray, order: int, rounds: int = 200, tiny: float = 1e-6) -> np.ndarray:
     """Weights (BUCKETS, order + 1), uniform share last, by expectation-maximisation over the histogram.
 
-    A bucket without evidence takes the weights of the nearest one below it,
-    or those of all evidence.
+    ``ratios`` are the estimates of each order by the uniform share. A bucket
+    without evidence takes the weights of the nearest one below it, or those
+    of all evidence.
     """
 
-    def fit(steps: np.ndarray, n: np.ndarray) -> np.ndarray:
-        p = np.concatenate([unstep(steps), np.ones((len(n), 1))], axis=1)
+    def fit(some: np.ndarray, n: np.ndarray) -> np.ndarray:
+        p = np.concatenate([some, np.ones((len(n), 1))], axis=1)
         w = np.full(order + 1, 1 / (order + 1))
         for _ in range(rounds):
             share = p * w
@@ -79,11 +77,11 @@ def learn(cells: np.ndarray, counts: np.ndarray, order: int, rounds: int = 200,
     out[:, -1] = 1
     if not len(counts):
         return out
-    last = fit(cells[:, 1:], counts)
+    last = fit(ratios, counts)
     for b in range(BUCKETS):
-        at = cells[:, 0] == b
+        at = buckets == b
         if counts[at].sum() > 0:
-            last = fit(cells[at, 1:], counts[at])
+            last = fit(ratios[at], counts[at])
         out[b] = last
     return out
 
@@ -125,8 +123,9 @@ def token_counts(row: dict, order: int, n_train: int, n_docs: int) -> tuple[list
 
 
 def evidence(looked: DataFrame, order: int, n_train: int, n_docs: int, kinds: int) -> DataFrame:
-    """The histogram of held-out estimates over all trained tokens: (cell, n)."""
-    kind, arrow = schema_of("cell long, n long")
+    """The histogram of held-out estimates over all trained tokens: cell, n and the summed logarithms r1, r2, ... of the ratios."""
+    sums = [f"r{k}" for k in range(1, order + 1)]
+    kind, arrow = schema_of("cell long, n long, " + ", ".join(f"{c} double" for c in sums))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,15 +133,29 @@ def evidence(looked: DataFrame, order: int, n_train: int, n_docs: int, kinds: in
                 grams, contexts, sizes = token_counts(row, order, n_train, n_docs)
                 trained = np.repeat(np.array(row["train"], bool), sizes)
                 cell = bucket(contexts[-1][trained] - 1)
+                logs = []
                 for p in estimates([g[trained] for g in grams], [c[trained] for c in contexts], 1):
-                    cell = cell * (STEPS + 1) + step(p * (kinds + 1))
-                cells, n = np.unique(cell, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], schema=arrow)
-
-    return looked.mapInArrow(run, kind).groupBy("cell").agg(F.sum("n").alias("n"))
+                    with np.errstate(divide="ignore"):
+                        logs.append(np.log2(p * (kinds + 1)))
+                    cell = cell * (STEPS + 1) + step(logs[-1])
+                cells, where, n = np.unique(cell, return_inverse=True, return_counts=True)
+                total = [np.bincount(where, np.where(np.isneginf(x), 0, x), len(cells)) for x in logs]
+                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n), *map(pa.array, total)], schema=arrow)
+
+    return looked.mapInArrow(run, kind).groupBy("cell").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums])
+
+
+def histogram(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, mean ratios by order, counts) of collected evidence."""
+    cell, n = table.column("cell").to_numpy(), table.column("n").to_numpy().astype(float)
+    ratios = np.zeros((len(cell), order))
+    for k in range(order, 0, -1):
+        ratios[:, k - 1] = np.where(cell % (STEPS + 1) > 0, 2.0 ** (table.column(f"r{k}").to_numpy() / np.maximum(n, 1)), 0.0)
+        cell = cell // (STEPS + 1)
+    return cell, ratios, n
 
 
-def score_texts(docs: DataFrame, train: str, *, keep: list[str], text: str = "text", order: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, train: str, *, keep: list[str], text: str = "text", order: int = ORDER) -> DataFrame:
     """keep, train, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``."""
     blocks = cut(S.make_blocks(docs, text=text, train=train, keep=keep), "blocks")
     n_train, n_all, n_docs = blocks.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("train", lambda x: x))), F.lit(0))).first()
@@ -150,13 +163,7 @@ def score_texts(docs: DataFrame, train: str, *, keep: list[str], text: str = "te
     replies = cut(S.add_up(S.ask(blocks, order, shards)), "replies")
     kinds = replies.filter("block = -1").agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
     looked = cut(looked_up(blocks, replies.filter("block >= 0"), order, shards, keep), "looked")
-    found = evidence(looked, order, n_train, n_docs, kinds).collect() if n_train else []
-    cell, counts = np.array([r["cell"] for r in found], np.int64), np.array([r["n"] for r in found], float)
-    columns = []
-    for _ in range(order):
-        columns.append(cell % (STEPS + 1))
-        cell = cell // (STEPS + 1)
-    weights = learn(np.stack([cell, *columns[::-1]], axis=1), counts, order)
+    weights = learn(*histogram(evidence(looked, order, n_train, n_docs, kinds).toArrow(), order), order)
     extra = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     kind, arrow = schema_of(f"{extra}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -286,8 +286,8 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least:
 
 
 def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` without the repeated parts (a whole line with its line break); all rows and columns stay."""
-    names, kinds = docs.columns, {f.name: f.dataType for f in docs.schema}
+    """``docs``, which is read twice, without the repeated parts (a whole line with its line break); all rows and columns stay."""
+    names = docs.columns
     gone = repeats(docs, key=key, text=text, least=least)
     own, cuts = free_name(docs, "gone_row"), free_name(docs, "gone_spans")
     spans = gone.select("row", "start", "end").distinct().groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts))
@@ -312,7 +312,7 @@ def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: i
 
         return f
 
-    return map_batches(met, make, ", ".join(f"`{n}` {kinds[n].simpleString()}" for n in names))
+    return map_batches(met, make, docs.schema)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

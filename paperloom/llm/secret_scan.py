@@ -145,7 +145,7 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: flo
 
 def redact(docs: DataFrame, *, text: str = "text", mask: str = "[secret]") -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``mask``; all rows stay."""
-    names, kinds = docs.columns, {f.name: f.dataType for f in docs.schema}
+    names = docs.columns
     at = names.index(text)
 
     def make():
@@ -169,8 +169,7 @@ def redact(docs: DataFrame, *, text: str = "text", mask: str = "[secret]") -> Da
 
         return f
 
-    spec = ", ".join(f"`{n}` {kinds[n].simpleString()}" for n in names)
-    return map_batches(docs, make, spec)
+    return map_batches(docs, make, docs.schema)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

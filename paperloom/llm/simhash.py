@@ -280,12 +280,15 @@ def _group(each: DataFrame, key: str) -> DataFrame:
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """The rows of ``docs`` with the least key of each component, one row a component.
 
+    ``docs`` is read twice and has to give the same rows both times.
+
     Of rows that share that key and differ, the one with the least hash of all
     columns stays; of equal rows one stays.
     """
     names = docs.columns
     row, n = free_name(docs, "fp_row"), free_name(docs, "fp_n")
-    tagged = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in names]))
+    told = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t or "variant" in t else F.col(f"`{c}`") for c, t in docs.dtypes]
+    tagged = docs.withColumn(row, F.xxhash64(*told))
     kind = docs.schema[key].dataType.simpleString()
 
     def make():

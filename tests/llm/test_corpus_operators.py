@@ -68,15 +68,14 @@ def test_deleted_interpolation(make, monkeypatch, order):
 def test_weights_by_expectation_maximisation():
     """Events drawn from known weights give these weights back."""
     r = np.random.default_rng(1)
-    steps = r.integers(0, 80, (400, 2))
-    p = np.concatenate([deleted_interpolation.unstep(steps), np.ones((400, 1))], 1)
-    p /= p.max()
-    true = np.array([0.5, 0.3, 0.2])
-    n = np.rint(1e6 * (p * true).sum(1)) + 1
-    cells = np.concatenate([np.full((400, 1), 3), steps], 1)
-    w = deleted_interpolation.learn(cells, n, 2)
-    assert w.shape == (deleted_interpolation.BUCKETS, 3) and np.allclose(w.sum(1), 1) and (w[3] == w[9]).all() and w[0, -1] != 1
-    assert (deleted_interpolation.learn(cells[:0], n[:0], 2)[:, -1] == 1).all()
+    ratios = 2.0 ** r.integers(-9, 9, (400, 2)) * (r.random((400, 2)) < 0.9)
+    scaled = np.c_[ratios, np.ones(400)] / np.c_[ratios, np.ones(400)].sum(0)  # three distributions over 400 outcomes
+    n = np.rint(1e7 * scaled @ [0.5, 0.3, 0.2])
+    scaled /= scaled[:, 2:]
+    w = deleted_interpolation.learn(np.full(400, 3), scaled[:, :2], n, 2)
+    assert w.shape == (deleted_interpolation.BUCKETS, 3) and np.allclose(w.sum(1), 1) and (w[3] == w[9]).all()
+    assert np.allclose(w[3], [0.5, 0.3, 0.2], atol=0.02)
+    assert (deleted_interpolation.learn(np.zeros(0), ratios[:0], n[:0], 2)[:, -1] == 1).all()
 
 
 def test_deleted_interpolation_odd(odd):
@@ -357,6 +356,20 @@ def test_pipeline(spark, make, odd):
             assert stage(spark, frame, "").count() >= 0
 
 
+def test_stages_keep_columns_of_any_type(spark):
+    more = {
+        "da y": "date'2020-01-02'", "de.c": "1.5BD", "ts": "timestamp'2020-01-02 03:04:05'", "nt": "timestamp_ntz'2020-01-02 03:04:05'", "iv": "interval '1' day", "st": "struct(1 as a, array('x') as b)",
+        "mp": "map('k', 2)", "bi": "cast('12' as binary)", "bo": "cast(null as boolean)", "nest": "array(struct(map(1, 2) as z))", "ti": "3Y", "key": "'k'", "row": "1", "fp": "2", "c0": "4",
+    }
+    texts = [(i, " ".join(f"the word{i}x{k}" for k in range(30)) if i % 2 else None) for i in range(6)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumns({k: F.expr(v) for k, v in more.items()})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        assert sorted(map(repr, out.collect())) == sorted(repr(r) for r in docs.collect() if r.text or name in ("line_dedup", "secret_scan") or (name == "simhash_near_dedup" and r.doc_id == 0))
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 6
+
+
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
