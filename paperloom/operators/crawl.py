@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from paperloom import schemas
 from paperloom.functions.html_calls import extract_calls, links_of, title_of
 from paperloom.functions.textnorm import CALL_PATTERN, clean_url, is_research_title, year_in
+from paperloom.storage import cut
 
 from .relational import first_wins, primary_or_fallback
 
@@ -92,22 +94,23 @@ def in_scope(home: Column, target: Column, text: Column, year: Column, scope: Sc
     return ~alone & (~root | (host_of(target) == host_of(home))) & (root | own_archive | same) & wanted
 
 
-def crawl(starts: DataFrame, parsed: DataFrame, scope: Scope, depth: int = 20) -> DataFrame:
+def crawl(starts: DataFrame, parsed: DataFrame, scope: Scope, depth: int | None = None) -> DataFrame:
     """(series, edition, year, url, depth, missing): pages reached from the editions' homes.
 
     Breadth first over a table of parsed pages; every round joins the new
-    addresses with the pages and keeps those not seen before in their edition.
+    addresses with the pages, keeps those not seen before in their edition and
+    writes them, so a plan never holds more than one round. It ends when a
+    round finds nothing new, or after ``depth`` rounds.
     A page that the table lacks is reported as missing, not followed.
     """
     keys = ["series", "edition", "year"]
-    links = parsed.select(F.col("url").alias("url"), F.explode_outer("links").alias("link"))
-    seen = starts.filter("status = 'pending'").select(*keys, F.col("crawl_url").alias("home"), F.col("crawl_url").alias("url")).distinct().withColumn("depth", F.lit(0))
-    front = seen
-    for d in range(1, depth + 1):
-        step = front.join(links, "url").filter(F.col("link").isNotNull())
-        step = step.filter(in_scope(F.col("home"), F.col("link.target"), F.col("link.text"), F.col("year"), scope, F.col("series")))
+    links = cut(parsed.select("url", F.explode("links").alias("link")), "links")
+    front = cut(starts.filter("status = 'pending'").select(*keys, F.col("crawl_url").alias("home"), F.col("crawl_url").alias("url")).distinct().withColumn("depth", F.lit(0)), "crawl")
+    seen = front
+    for d in count(1) if depth is None else range(1, depth + 1):
+        step = front.join(links, "url").filter(in_scope(F.col("home"), F.col("link.target"), F.col("link.text"), F.col("year"), scope, F.col("series")))
         step = step.select(*keys, "home", F.col("link.target").alias("url")).distinct()
-        front = step.join(seen, [*keys, "url"], "left_anti").withColumn("depth", F.lit(d)).cache()
+        front = cut(step.join(seen, [*keys, "url"], "left_anti").withColumn("depth", F.lit(d)), "crawl")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

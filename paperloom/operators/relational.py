@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.storage import cut
+
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per ``keys``: the first by ``order``. Partial aggregation, no window sort."""
@@ -189,14 +191,17 @@ def natural_key(column: str, width: int = 12) -> Column:
 def closure(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(node, depth): nodes reached from ``roots`` (node) along ``edges`` (src, dst), breadth first.
 
-    Each round keeps only what the rounds before haven't seen.
+    Each round keeps only what the rounds before haven't seen, and is written,
+    so a plan never holds more than one round.
     """
-    seen = roots.select("node").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    front = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)), "closure")
+    seen = front
     for d in range(1, depth + 1):
-        step = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(frontier)
+        step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct()
+        front = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)), "closure")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
     return seen
 
 
