@@ -1,58 +1,12 @@
-"""Session settings and lineage cuts shared by the operators of this subpackage."""
+"""Tables and names shared by the operators of this subpackage."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir``.
-
-    Only where the session leaves it unset (single-machine tests) is a
-    temporary folder used instead; it goes when the process ends.
-    """
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if told:
-        return told.rstrip("/")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="paperloom-"))
-        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-    return f"file://{_OWN[0]}"
-
-
-def new_table(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/paperloom/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return it as read from there.
-
-    The written files replace the lineage, so the loss of an executor costs
-    no more than its running tasks. Schema and rows are unchanged.
-    """
-    spark = df.sparkSession
-    path = new_table(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from paperloom.storage import cut, drop_tables
 
-def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete tables made by :func:`cut` that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for df in frames:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/paperloom/" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+__all__ = ["cut", "drop_tables", "free_name", "read_table"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
