@@ -33,7 +33,7 @@ from .session import cut, read_table
 BUCKETS = 48
 #: Ratios to the uniform share are told apart by octaves; a third of the STEPS are below one.
 STEPS = 60
-ORDER = 3
+ORDER = 2
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
