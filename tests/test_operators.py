@@ -226,6 +226,27 @@ def test_stream(spark, tmp_path, pages):
     assert spark.read.parquet(str(tmp_path / "out")).count() == pages.count()
 
 
+def test_jobs(spark, tmp_path, pages):
+    from paperloom import jobs
+    from paperloom.__main__ import main
+
+    pages.select("url", "html").write.parquet(str(tmp_path / "pages"))
+    (tmp_path / "listed.json").write_text("\n".join(json.dumps({"series": s, "edition": e, "url": u}) for s, e, u in (("m", "M 2025", "/home/m-2025"), ("m", "M 2019", "https://old.example/"), ("w", "W 2025", "/home/w"))))
+    scope = {"base": SCOPE.base, "hosts": list(SCOPE.hosts), "archives": list(SCOPE.archives), "keep_slash": list(SCOPE.keep_slash), "queries": [list(q) for q in SCOPE.queries], "call_hosts": list(SCOPE.call_hosts), "research_titles": list(SCOPE.research_titles), "canonical": SCOPE.canonical}
+    assert jobs.scope_of(scope) == SCOPE
+    (tmp_path / "scope.json").write_text(json.dumps(scope))
+    main(["crawl", *[str(tmp_path / x) for x in ("pages", "listed.json", "scope.json", "out")], "--series", "m", "--years", "2025"])
+    report = json.loads(next((tmp_path / "out/report").glob("part-*")).read_text())
+    assert (report["series"], report["years"], len(report["calls"]), [e["status"] for e in report["editions"]], len(report["errors"])) == (["m"], [2025], 1, ["crawled"], 1)
+    lines = [{"line_no": i, "text": t, "page": 1, "boxes": [], "runs": []} for i, t in enumerate(["Data Availability", "At https://github.com/a/b and 10.1000/x"])]
+    (tmp_path / "docs.json").write_text(json.dumps({"doc_id": "2020/1.pdf", "pages": 1, "lines": lines, "annotations": []}) + "\n" + json.dumps({"doc_id": "2020/2.pdf", "pages": 1, "lines": [], "annotations": []}))
+    main(["batch", str(tmp_path / "docs.json"), "fse", str(tmp_path / "batch")])
+    public = json.loads("".join(p.read_text() for p in (tmp_path / "batch/public").glob("part-*")))
+    assert public["conference"] == "fse" and {k: public["years"]["2020"][k] for k in ("total", "with_statement", "no_text")} == {"total": 2, "with_statement": 1, "no_text": 1}
+    main(["analyze", str(tmp_path / "docs.json"), str(tmp_path / "one"), "--sections", "nothing"])
+    assert all(json.loads(r.value)["statements"] == [] for r in spark.read.text(str(tmp_path / "one")).collect())
+
+
 def test_relational_edges(spark):
     e = spark.createDataFrame([], "k int, o int, v string")
     assert R.first_wins(e, ["k"], ["o"]).count() == 0
