@@ -118,7 +118,7 @@ def train(texts: DataFrame, order: int = ORDER) -> DataFrame:
         sums = now.groupBy(context.alias("context")).agg(F.sum("n").alias("s"), F.sum(_discount(n, d)).alias("left"))
         sums = cut(sums, "contexts") if k > 1 else sums
         tag = lambda extra, k=k: F.lit((k + extra) << 56)
-        met = now.withColumn("context", context).join(sums, "context") if k > 1 else now.crossJoin(F.broadcast(sums))
+        met = now.withColumn("context", context).join(sums if k > 1 else F.broadcast(sums), "context")  # of order 1, one row
         parts.append(met.select(F.col("key").bitwiseOR(tag(0)).alias("id"), ((n - _discount(n, d)) / F.col("s")).alias("value")))
         parts.append(sums.select(F.col("context").bitwiseOR(tag(8)).alias("id"), (F.col("left") / F.col("s")).alias("value")))
         if k > 1:
@@ -193,11 +193,11 @@ def perplexities(docs: DataFrame, model: DataFrame, *, keep: list[str], text: st
             ids = np.concatenate([np.unique(x) for pair in parts(np.unique(grams(flat, place, order)), order) for x in pair])
             ids.sort()
             to = shard_of(ids, shards)
-            for s in range(shards):
-                part = ids[to == s]
-                if len(part):
-                    cells = [s, block, squeeze(np.diff(part, prepend=np.uint64(0)))]
-                    yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, arrow, strict=True)], schema=arrow)
+            by = np.argsort(to, kind="stable")
+            some, starts = np.unique(to[by], return_index=True)
+            for s, part in zip(some.tolist(), np.split(ids[by], starts[1:]), strict=True):
+                cells = [s, block, squeeze(np.diff(part, prepend=np.uint64(0)))]
+                yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, arrow, strict=True)], schema=arrow)
 
     sent = cut(source.mapInArrow(messages, kind).distinct(), "messages")
     copies = max(1, -(-sent.count() // (MESSAGES * shards)))
