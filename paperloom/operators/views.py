@@ -89,9 +89,10 @@ def chart(summary: DataFrame, conferences: Sequence[str] = (), since: int = 2018
     label = F.concat_ws(" ", F.upper("conference"), "year") if conferences else F.col("year")
     sums = some.groupBy(label.alias("edition")).agg(*[F.sum(c).alias(n) for c, n in (("checked", "Accepted"), ("with_statement", "With DAS"), ("with_replication_package", "With Artifact"), ("with_statement_and_doi", "With DOI"))])
     long = sums.unpivot("edition", ["Accepted", "With DAS", "With Artifact", "With DOI"], "measure", "value")
-    most = long.agg(F.max("value").alias("most"))
+    most = long.groupBy(F.lit(0).alias("one_")).agg(F.max("value").alias("most"))
     step, ceiling = R.nice_axis(F.col("most"))
-    return long.join(F.broadcast(most.select(step.alias("step"), ceiling.alias("ceiling"))))  # one row
+    one = F.broadcast(most.select("one_", step.alias("step"), ceiling.alias("ceiling")))  # one row
+    return long.withColumn("one_", F.lit(0)).join(one, "one_").drop("one_")
 
 
 def available_keys(summary: DataFrame, annotations: DataFrame) -> DataFrame:
