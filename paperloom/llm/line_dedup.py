@@ -7,9 +7,9 @@ words are units too: of every REACH windows in sequence the one of least
 digest is taken, a choice that a passage's own words decide wherever it
 stands. Of two equal passages of n words the same windows are thus taken, and
 they cover all but REACH - 1 words at either end at most. Repeated windows that
-overlap form a run; a run of RUN words or more is removed. Any passage of 50
-words or more has such a run, and nothing of less than RUN words is touched
-unless it is a whole line.
+overlap form a run; a run of RUN words or more is removed. Any repeat of
+PASSAGE_WORDS or more has such a run, and nothing of less than RUN words is
+touched unless it is a whole line.
 
 Digests are grouped over all documents: texts are packed into blocks, a block
 reports each of its distinct digests once to the shard of that digest, with the
@@ -41,7 +41,10 @@ from .ngram_shards import by_shard, expand, mix, squeeze
 from .session import cut, free_name, read_table
 
 LEAST_WORDS = 20
-WINDOW, REACH, RUN = 16, 8, 36
+WINDOW, REACH = 16, 4
+#: A repeat of PASSAGE_WORDS has a run of RUN at least.
+PASSAGE_WORDS = 50
+RUN = PASSAGE_WORDS - 2 * (REACH - 1)
 BLOCK_WORDS = 1_500_000
 SHARD_UNITS = 1_200_000
 #: Characters hashed at once.
