@@ -1,4 +1,4 @@
-"""A corpus pipeline: rules, near and line duplicates, secrets, packing.
+"""A corpus pipeline: rules, near duplicates, repeated lines and passages, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
 it kept; all but the last return the columns of ``documents``. :func:`run`
@@ -24,7 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier one has."""
+    """All documents, without the lines and passages that an earlier one has."""
     return line_dedup.remove(docs)
 
 
