@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .arrow_map import bounded_batches, map_batches, schema_of
 from .ngram_shards import by_shard, expand, mix, squeeze
-from .session import cut, free_name, read_table
+from .session import cut, drop_tables, free_name, read_table
 
 LEAST_WORDS = 20
 WINDOW, REACH = 16, 4
@@ -285,7 +285,9 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least:
 
     got = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(meet, kind)
     null = lambda c: F.when(F.col(c) != FIRST, F.col(c)).alias(c)
-    return got.select(null("key"), "row", "start", "end", "n_words", null("kept_key"))
+    out = cut(got.select(null("key"), "row", "start", "end", "n_words", null("kept_key")), "repeats")
+    drop_tables(docs.sparkSession, blocks, replies)
+    return out
 
 
 def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
