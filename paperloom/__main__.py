@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from paperloom import jobs, schemas, sources
 from paperloom.functions.detection import SECTION_IDS
+from paperloom.storage import workers_find_package
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -39,6 +40,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
 def main(argv: list[str] | None = None) -> None:
     told = arguments(argv)
     spark = SparkSession.builder.appName(f"paperloom {told.command}").getOrCreate()
+    workers_find_package(spark)
     if told.command == "crawl":
         listed = spark.read.schema(jobs.LISTED).json(told.listed)
         known = sources.read_snapshots(spark, told.snapshots) if told.snapshots else None

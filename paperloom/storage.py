@@ -1,4 +1,4 @@
-"""Lineage cuts: tables in the folder that all executors share."""
+"""What a session needs on a cluster: lineage cuts in the folder that all executors share, and workers that find this package."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Tell Python workers where this package is, should they start elsewhere."""
+    root, env = str(Path(__file__).parents[1]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
 def new_table(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_folder(spark)}/paperloom/{name}-{uuid.uuid4().hex}"
