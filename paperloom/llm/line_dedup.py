@@ -1,15 +1,15 @@
 """Repeated lines and passages across documents: hash units, group globally, keep the earliest.
 
 Words are what stands between ASCII white space, A-Z lowered. Two kinds of
-units are digested. A line of at least ``least`` words is one. Passages that
-start and end inside lines have no line of their own, so windows of WINDOW
-words are units too: of every REACH windows in sequence the one of least
-digest is taken, a choice that a passage's own words decide wherever it
-stands. Of two equal passages of n words the same windows are thus taken, and
-they cover all but REACH - 1 words at either end at most. Repeated windows that
-overlap form a run; a run of RUN words or more is removed. Any repeat of
-PASSAGE_WORDS or more has such a run, and nothing of less than RUN words is
-touched unless it is a whole line.
+units are digested. A line of at least ``least`` words is one, by default every
+line that has a word. Passages that start and end inside lines have no line of
+their own, so windows of WINDOW words are units too: of every REACH windows in
+sequence the one of least digest is taken, a choice that a passage's own words
+decide wherever it stands. Of two equal passages of n words the same windows
+are thus taken, and they cover all but REACH - 1 words at either end at most.
+Repeated windows that overlap form a run; a run of RUN words or more is
+removed. Any repeat of PASSAGE_WORDS or more has such a run, and nothing of
+less than RUN words is touched unless it is a whole line.
 
 Digests are grouped over all documents: texts are packed into blocks, a block
 reports each of its distinct digests once to the shard of that digest, with the
@@ -40,7 +40,7 @@ from .arrow_map import bounded_batches, map_batches, schema_of
 from .ngram_shards import by_shard, expand, mix, squeeze
 from .session import cut, drop_tables, free_name, read_table
 
-LEAST_WORDS = 20
+LEAST_WORDS = 1
 WINDOW, REACH = 16, 4
 #: A repeat of PASSAGE_WORDS has a run of RUN at least.
 PASSAGE_WORDS = 50
@@ -155,7 +155,7 @@ def make_blocks(docs: DataFrame, *, key: str, text: str, least: int, block_words
                 keys.append(k)
                 rows.append(r)
                 got.append(u)
-                held += len(t) // 6
+                held += max(len(t) // 6, 2 * len(u[0]))  # very short lines are more units than words by characters
                 if held >= block_words:
                     yield done()
                     keys, rows, got, held = [], [], [], 0

@@ -260,6 +260,34 @@ def test_line_dedup(make, odd, monkeypatch):
     assert {(x.key, x.kept_key) for x in same} == {(5, 5), (6, 5)}  # the long text repeats itself; the rows of id 7 are one document
 
 
+def test_short_lines_by_default(make, monkeypatch):
+    """As brute force: every later equal line goes, of one word or more, with unique neighbours or none."""
+    small_blocks(monkeypatch)
+    r = random.Random(12)
+    lines = [" ".join(f"y{i}x{k}" for k in range(n)) for i, n in enumerate([1, 1, 2, 3, 5, 7, 9, 12, 19, 20, 25])]
+    texts = []
+    for i in range(50):
+        some = [f"own{i}a{k} only here" if k % 2 == 0 else r.choice(["", " ", r.choice(lines), r.choice(lines).upper()]) for k in range(r.randint(0, 6))]
+        texts.append("\n".join(some))
+    texts += lines + [None, ""]
+    seen, want, left = {}, set(), {}
+    for i, t in enumerate(texts):
+        pos, left[i] = 0, []
+        for x in (t or "").split("\n"):
+            k = tuple(x.lower().split())
+            if k and k in seen:
+                want.add((i, pos, pos + len(x), len(k), seen[k]))
+            else:
+                seen.setdefault(k, i)
+                left[i].append(x)
+            pos += len(x) + 1
+    got = line_dedup.repeats(make(texts)).collect()
+    assert {(x.key, x.start, x.end, x.n_words, x.kept_key) for x in got} == want and len(got) == len(want)
+    assert {n for *_, n, _ in want} == {1, 2, 3, 5, 7, 9, 12, 19, 20, 25}
+    out = {x.doc_id: x.text for x in line_dedup.remove(make(texts)).collect()}
+    assert all((out[i] or "").rstrip("\n") == "\n".join(left[i]).rstrip("\n") for i in range(len(texts)))
+
+
 def test_passages(make, monkeypatch):
     """Planted passages inside lines: all copies but the first go, but for a few words at the ends; the rest stays."""
     small_blocks(monkeypatch)
