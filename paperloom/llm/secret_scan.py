@@ -3,8 +3,11 @@
 Two first-order Markov chains over characters are trained from a labelled
 sample: one on random strings (keys, digests, encoded bytes), one on ordinary
 words and identifiers. A run of key-like characters whose log-likelihood
-ratio passes both thresholds is a secret of kind ``markov``. Pattern spans
-always stay; a ``markov`` span that overlaps one of them is left out.
+ratio passes both thresholds is a secret of kind ``markov``. A random string
+may also stand inside a path or a joined identifier, whose ordinary parts
+outweigh it: of any other run the maximal-scoring segments are tested
+(Ruzzo and Tompa), and one that passes is widened to the separators around it.
+Pattern spans always stay; what a run has outside them is tested as runs are.
 
 Defined results: a null or empty text has no spans; offsets are code points
 with exclusive ends; repeated rows give repeated results; a null key is passed
@@ -34,7 +37,9 @@ HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 # Runs are greedy and maximal, so a least length in the pattern finds the same runs as a later test does.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+SEPARATORS = "/_=-"
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 
 
@@ -78,13 +83,34 @@ class MarkovRatio:
         logs = {label: [[math.log(x / sum(row)) for x in row] for row in table] for label, table in counts.items()}
         self.ratio = [[a - b for a, b in zip(x, y, strict=True)] for x, y in zip(logs[True], logs[False], strict=True)]
 
+    def steps(self, s: str) -> list[float]:
+        """The ratio of each character after the one before it."""
+        codes = [0, *(self.index.get(c, 0) for c in s)]
+        return [self.ratio[a][b] for a, b in zip(codes, codes[1:], strict=False)]
+
     def score(self, s: str) -> float:
-        total, last, index, ratio = 0.0, 0, self.index, self.ratio
-        for c in s:
-            now = index.get(c, 0)
-            total += ratio[last][now]
-            last = now
-        return total
+        return sum(self.steps(s))
+
+
+def maximal(x: list[float]) -> list[tuple[int, int]]:
+    """(start, end) of all maximal-scoring segments of ``x``, in order; linear time."""
+    held: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum at end, the last one held whose sum before is less
+    total = 0.0
+    for i, v in enumerate(x):
+        before, total = total, total + v
+        if v <= 0:
+            continue
+        start, low, at = i, before, len(held) - 1
+        while True:
+            while at >= 0 and held[at][2] >= low:
+                at = held[at][4]
+            if at < 0 or held[at][3] >= total:
+                break
+            start, _, low, _, after = held[at]  # the two and all between are one
+            del held[at:]
+            at = after
+        held.append((start, i + 1, low, total, at))
+    return [(a, b) for a, b, *_ in held]
 
 
 class Scanner:
@@ -109,15 +135,54 @@ class Scanner:
         """(pattern spans, all spans), each in order of start, then kind."""
         base = self.base(text)
         more = []
+        first = 0
         for m in RUN.finditer(text):
             s, e = m.span()
-            if any(a < e and s < b for a, _, b in base):
-                continue
-            score = self.model.score(m[0])
-            if score >= self.least and score >= self.per_char * (e - s):
-                more.append((s, 3, e))
+            while first < len(base) and base[first][2] <= s:
+                first += 1
+            at = first
+            while s < e:  # what lies before, between and behind pattern spans
+                a, _, b = base[at] if at < len(base) else (e, 3, e)
+                more += [(x, 3, y) for x, y in self.random_parts(text, s, min(a, e))]
+                s, at = max(s, b), at + 1
         return base, sorted(base + more) if more else base
 
+    def passes(self, score: float, n: int) -> bool:
+        return score >= self.least and score >= self.per_char * n
+
+    def random_parts(self, text: str, s: int, e: int) -> list[tuple[int, int]]:
+        """The spans of text[s:e], which has only key-like characters, that pass; they don't overlap."""
+        if e - s < LEAST:
+            return []
+        steps = self.model.steps(text[s:e])
+        if self.passes(sum(steps), e - s):
+            return [(s, e)]
+        out: list[tuple[int, int]] = []
+        # A segment that bridges ordinary parts may have too little a character; what it is made of has not.
+        left = [(0, e - s, 0.0)]
+        while left:
+            a, b, less = left.pop()
+            for i, j in maximal([x - less for x in steps[a:b]]):
+                i, j = a + i, a + j
+                score = sum(steps[i:j])
+                if score < self.least:
+                    continue
+                if less >= self.per_char or self.passes(score, j - i):
+                    out.append((i, j))
+                else:
+                    left.append((i, j, less + self.per_char / 2))
+        spans: list[tuple[int, int]] = []
+        for i, j in sorted(out):
+            while i and text[s + i - 1] not in SEPARATORS:
+                i -= 1
+            while s + j < e and text[s + j] not in SEPARATORS:
+                j += 1
+            if spans and i <= spans[-1][1]:
+                spans[-1] = spans[-1][0], max(j, spans[-1][1])
+            else:
+                spans.append((i, j))
+        return [(s + i, s + j) for i, j in spans if j - i >= LEAST]
+
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)

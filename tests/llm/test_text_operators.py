@@ -109,6 +109,46 @@ def test_markov_held_out():
     assert right / len(some) > 0.97
 
 
+def test_markov_inside_paths_and_identifiers():
+    """Keys behind, before and between ordinary parts are found whole, and the ordinary parts alone aren't."""
+    r = random.Random(21)
+    s = secret_scan.Scanner()
+    around = [("files/", ""), ("var/lib/config/", ""), ("home/user/projects/settings/production/", ""), ("get_user_identifier_from_request_", ""), ("internal-service-account-", "-settings"), ("home/user/projects/", "/settings/production"), ("cache/deadbeefdeadbeef01/settings/", "")]
+    for before, behind in around:
+        assert [k for _, k, _ in s.scan(f"see {before}settings{behind} here")[1] if k == 3] == []
+        for n in (24, 32, 40):
+            whole = 0
+            for _ in range(100):
+                key = "".join(r.choices(secret_scan.ALPHABET[:62], k=n))
+                text = f"see {before}{key}{behind} here"
+                at = text.index(key)
+                base, every = s.scan(text)
+                assert base == brute_secrets(text)
+                whole += any(k == 3 and a <= at and at + n <= b for a, k, b in every)
+            assert whole >= 95
+    keys = ["".join(r.choices(secret_scan.ALPHABET[:62], k=40)) for _ in range(2)]
+    text = keys[0] + "/home/user/projects/settings/production/international/committee/identifier/request/" + keys[1]
+    got = s.scan(text)[1]
+    assert all(any(a <= text.index(k) and text.index(k) + 40 <= b for a, _, b in got) for k in keys) and not any(a <= text.index("committee") < b for a, _, b in got)
+
+
+def test_maximal_segments():
+    """As the definition: the best segment, then the same on either side of it."""
+
+    def brute(x, a, b):
+        best = max(((sum(x[i:j]), i - j, -i) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
+        if best[0] <= 0:
+            return []
+        i = -best[2]
+        j = i - best[1]
+        return [*brute(x, a, i), (i, j), *brute(x, j, b)]
+
+    r = random.Random(4)
+    for _ in range(300):
+        x = [float(r.randint(-9, 8)) + r.randint(0, 999) / 1024 for _ in range(r.randint(0, 25))]
+        assert secret_scan.maximal(x) == brute(x, 0, len(x))
+
+
 def test_secret_tables(odd, make):
     got = secret_scan.find(odd).collect()
     assert len(got) == odd.count() and all(r.spans == [] for r in got)
