@@ -264,26 +264,29 @@ def near_links(fps: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """(key, fp, component) for every row of ``docs``; component is the least key reachable."""
     each = cut(fingerprints(docs, key=key, text=text, width=width), "fingerprints")
-    return _group(each, key)
+    return _group(each, key).drop("root")
 
 
 def _group(each: DataFrame, key: str) -> DataFrame:
+    """``each`` (key, fp and more) with component and root, the fingerprint that tells the group: ids may be null or repeated."""
     fps = cut(each.groupBy("fp").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
     linked = cut(components(near_links(fps)), "components")
     rooted = fps.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted, "rooted")
     least = cut(rooted.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("m")), "least")
-    known = cut(split_lookup(rooted, least, "root", "m").select("fp", "n", "component"), "known")
+    known = cut(split_lookup(rooted, least, "root", "m").select("fp", "n", "component", "root"), "known")
     return split_lookup(each, known, "fp", "n")
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """The rows of ``docs`` with the least key of each component, one row a component.
+    """The rows of ``docs`` with the least key of each group of linked fingerprints, one row a group.
 
     ``docs`` is read twice and has to give the same rows both times.
 
-    Of rows that share that key and differ, the one with the least hash of all
-    columns stays; of equal rows one stays.
+    A null key comes last. Of rows of a group that share that key and differ,
+    the one with the least hash of all columns stays; of equal rows one stays.
+    Rows whose fingerprints don't link never replace each other, whatever their
+    keys.
     """
     names = docs.columns
     row, n = free_name(docs, "fp_row"), free_name(docs, "fp_n")
@@ -296,7 +299,7 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
 
     each = cut(map_batches(tagged.select(key, text, row), make, f"key {kind}, row long, fp long"), "fingerprints")
     got = _group(each, "key")
-    chosen = got.groupBy("component").agg(F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("s")).select(F.col("s.row").alias(row))
+    chosen = got.groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("s")).select(F.col("s.row").alias(row))
     counted = cut(chosen.join(each.select(F.col("row").alias(row)), row).groupBy(row).agg(F.count(F.lit(1)).alias(n)), "chosen")
     stay = tagged.join(counted.hint("merge"), row, "inner")  # the same plan at every size
     every = [F.col(f"`{c}`") for c in names]

@@ -208,6 +208,16 @@ def test_simhash(make, odd):
     assert simhash.groups(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_keep_one_of_null_and_repeated_ids(make):
+    """Different texts stay though their ids are null or the same; of copies one stays."""
+    a, b, c, d, e = (" ".join(f"{x}{k * k}" for k in range(60)) for x in "abcde")
+    df = make([a, b, a.upper(), c, d, d, d, e, e], [None, None, None, 7, 7, 7, 8, None, 9])
+    assert len({r.fp for r in simhash.groups(df).collect()}) == 5
+    got = simhash.keep_one(df).collect()
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in got) == sorted([(0, a), (0, b), (7, c), (7, d), (9, e)])
+    assert simhash.groups(df).columns == ["doc_id", "fp", "component"]
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(120)] + [(2000, 2001 + i) for i in range(200)] + [(5, 5)]
