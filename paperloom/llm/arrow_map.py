@@ -28,6 +28,13 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(value))
 
 
+def lean() -> None:
+    """In a worker: Arrow's buffers come from the system, which gets them back at once; pools would keep the most that ever was."""
+    pool = pa.system_memory_pool()
+    if pa.default_memory_pool().backend_name != pool.backend_name:
+        pa.set_memory_pool(pool)
+
+
 def schema_of(spec: str | StructType) -> tuple[StructType, pa.Schema]:
     kind = _parse_datatype_string(spec) if isinstance(spec, str) else spec
     return kind, to_arrow_schema(kind)
@@ -40,6 +47,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     kind, arrow = schema_of(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         f = make()
         for b in batches:
             if b.num_rows and (out := f(b)) is not None:

@@ -9,7 +9,8 @@ over all trained tokens as a histogram whose cells are the bucket and the
 ratios of the estimates in octaves, with their mean logarithms, so it has a
 bounded number of rows; the scores themselves use the exact counts.
 
-Counts are gathered and looked up as in :mod:`.ngram_shards`.
+Counts are gathered and looked up as in :mod:`.ngram_shards`, whose words are
+those between ASCII white space, A-Z lowered.
 
 Defined results: a null or empty text is its end token alone; an unseen word
 gets the uniform share; with no trained text every weight is on that share;
@@ -26,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import exchange as X
 from . import ngram_shards as S
-from .arrow_map import schema_of
-from .session import cut, read_table
+from .arrow_map import lean, schema_of
+from .session import cut, drop_tables, read_table
 
 BUCKETS = 48
 #: Ratios to the uniform share are told apart by octaves; a third of the STEPS are below one.
@@ -86,32 +88,33 @@ def learn(buckets: np.ndarray, ratios: np.ndarray, counts: np.ndarray, order: in
     return out
 
 
-def looked_up(blocks: DataFrame, replies: DataFrame, order: int, shards: int, keep: list[str]) -> DataFrame:
+def looked_up(blocks: DataFrame, replies: DataFrame, order: int, many: int, keep: list[str]) -> DataFrame:
     """Blocks with the total counts of every token's n-grams, in training."""
     extra = ", ".join(f"`{c}` {blocks.schema[c].dataType.simpleString()}" for c in keep)
     kind, arrow = schema_of(f"sizes binary, train array<boolean>, codes binary, words binary, grams array<binary>, {extra}")
+    sums = X.Sums()
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         rows = left.to_pylist()
         if not rows:
             return pa.Table.from_batches([], schema=arrow)
         row = rows[0]
-        block = S.read_block(row)
-        found, inverse, _ = S.asked(block, order, np.array(row["train"], bool))
-        totals = S.answers(right.to_pylist(), found, shards)
-        where = np.unique(block.vocab, return_inverse=True)[1]
-        grams = [S.small(t[i]) for t, i in zip(totals[1:], inverse[1:], strict=True)]
-        cells = [row["sizes"], row["train"], row["codes"], S.squeeze(totals[0][where]), grams, *[row[c] for c in keep]]
+        _, places, _ = S.asked(S.read_block(row), order, np.array(row["train"], bool))
+        (totals,) = X.whole(right, sums)
+        grams = [X.small(totals[p]) for p in places[1:]]
+        cells = [row["sizes"], row["train"], row["codes"], X.squeeze(totals[places[0]]), grams, *[row[c] for c in keep]]
         return pa.Table.from_arrays([pa.array([c], f.type) for c, f in zip(cells, arrow, strict=True)], schema=arrow)
 
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(meet, kind)
+    left, right = X.with_replies(blocks, replies, many)
+    return left.cogroup(right).applyInArrow(meet, kind)
 
 
 def token_counts(row: dict, order: int, n_train: int, n_docs: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Per token: counts of its n-grams and of their contexts by order, and the sizes of the texts."""
-    sizes = S.expand(row["sizes"], "i4").astype(np.int64)
-    codes, words = S.expand(row["codes"], "i4"), S.expand(row["words"], "i8")
-    grams = [words[codes], *[S.large(b, 0) for b in row["grams"]]]
+    sizes = X.expand(row["sizes"], "i4").astype(np.int64)
+    codes, words = X.expand(row["codes"], "i4"), X.expand(row["words"], "i8")
+    grams = [words[codes], *[X.large(b) for b in row["grams"]]]
     starts = np.cumsum(sizes) - sizes
     contexts = [np.full(len(codes), n_train)]
     for g in grams[: order - 1]:
@@ -128,6 +131,7 @@ def evidence(looked: DataFrame, order: int, n_train: int, n_docs: int, kinds: in
     kind, arrow = schema_of("cell long, n long, " + ", ".join(f"{c} double" for c in sums))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             for row in b.to_pylist():
                 grams, contexts, sizes = token_counts(row, order, n_train, n_docs)
@@ -155,19 +159,20 @@ def histogram(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray, np.n
     return cell, ratios, n
 
 
-def score_texts(docs: DataFrame, train: str, *, keep: list[str], text: str = "text", order: int = ORDER) -> DataFrame:
+def score_texts(docs: DataFrame, train: str, *, keep: list[str], text: str = "text", order: int = ORDER, block_tokens: int = S.BLOCK_TOKENS, fan: int = X.FAN) -> DataFrame:
     """keep, train, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``."""
-    blocks = cut(S.make_blocks(docs, text=text, train=train, keep=keep), "blocks")
-    n_train, n_all, n_docs = blocks.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("train", lambda x: x))), F.lit(0))).first()
-    shards = max(1, -(-order * n_all // S.SHARD_KEYS))
-    replies = cut(S.add_up(S.ask(blocks, order, shards)), "replies")
-    kinds = replies.filter("block = -1").agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
-    looked = cut(looked_up(blocks, replies.filter("block >= 0"), order, shards, keep), "looked")
+    blocks = cut(S.make_blocks(docs, text=text, train=train, keep=keep, block_tokens=block_tokens), "blocks")
+    n_train, n_all, many, n_docs = blocks.agg(X.total("n_train"), X.total("n_tokens"), F.count(F.lit(1)), F.coalesce(F.sum(F.size(F.filter("train", lambda x: x))), F.lit(0))).first()
+    tree = X.plan(many, order * n_all, S.NODE_KEYS, fan)
+    replies, kinds = X.gather(S.ask(blocks, order, tree), X.Sums(), tree, "ngrams")
+    looked = cut(looked_up(blocks, replies, order, many, keep), "looked")
+    drop_tables(docs.sparkSession, blocks, replies)
     weights = learn(*histogram(evidence(looked, order, n_train, n_docs, kinds).toArrow(), order), order)
     extra = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     kind, arrow = schema_of(f"{extra}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             for row in b.to_pylist():
                 grams, contexts, sizes = token_counts(row, order, n_train, n_docs)

@@ -14,7 +14,7 @@ for each distinct n-gram of its distinct words once, by messages to the shards
 of the model table, and the answers are joined back to the block, which adds
 up its documents. Messages to a shard are split over as many copies of it as
 their number demands. Neither the model nor a vocabulary is broadcast. Blocks
-are named by a digest of their content, so a repeated scan names them alike.
+are written once, so a lost task doesn't pack them anew.
 
 A document is kept if its perplexity is at most its language's threshold, set
 from quantiles among trusted documents that the model wasn't trained on: the
@@ -34,18 +34,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow_map import bounded_batches, schema_of
-from .ngram_shards import expand, mix, squeeze
-from .session import cut, read_table
+from .arrow_map import bounded_batches, lean, schema_of
+from .exchange import expand, mix, rows_to_batches, squeeze
+from .session import cut, drop_tables, read_table
 from .skew import split_lookup
 
 ORDER = 5
 EDGE = 10  # the line feed never occurs in a word
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 1_000_000
 SHARD_KEYS = 400_000
 MESSAGES = 48
 #: Most trusted documents that the model is trained on, those of least hash.
@@ -146,60 +145,73 @@ def parts(keys: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray
         yield name(k, low), name(k, low >> np.uint64(8), True)
 
 
-def scanned(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, list[list]]]:
-    """Blocks: (name, distinct words, codes, words per document, kept columns); text is the first column."""
-    words: dict[bytes, int] = {}
-    codes: list[np.ndarray] = []
-    kept: list[list] | None = None
-
-    def done():
-        sizes = np.array([len(c) for c in codes], np.int64)
-        flat = np.concatenate(codes)
-        digest = xxhash.xxh3_64(b"\n".join(words))
-        digest.update(flat.tobytes())
-        digest.update(repr(kept).encode())
-        return digest.intdigest() - (1 << 63), list(words), flat, sizes, kept
-
-    held = 0
-    for b in batches:
-        rest = [b.column(i).to_pylist() for i in range(1, b.num_columns)]
-        for i, t in enumerate(b.column(0).to_pylist()):
-            got = t.encode("utf-8", "surrogatepass").split() if t else []
-            if held and held + len(got) >= block_words:
-                yield done()
-                words, codes, kept, held = {}, [], None, 0
-            new = words.setdefault
-            codes.append(np.array([new(w, len(words)) for w in got], np.int32))
-            kept = kept or [[] for _ in rest]
-            for k, values in zip(kept, rest, strict=True):
-                k.append(values[i])
-            held += len(got) + 1
-    if codes:
-        yield done()
+def make_blocks(docs: DataFrame, *, text: str, keep: list[str], block_words: int) -> DataFrame:
+    """(block, words, codes, sizes, keep as arrays): distinct words, codes into them, words per document."""
+    bounded_batches(docs.sparkSession)
+    kind, arrow = schema_of("words binary, codes binary, sizes binary, " + ", ".join(f"`{c}` array<{docs.schema[c].dataType.simpleString()}>" for c in keep))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        words: dict[bytes, int] = {}
+        codes: list[np.ndarray] = []
+        kept: list[list] = [[] for _ in keep]
+        held = 0
+
+        def done() -> pa.RecordBatch:
+            joined = np.frombuffer(b"\n".join(words), np.uint8) if words else np.zeros(0, np.uint8)
+            cells = [squeeze(joined), squeeze(np.concatenate(codes)), squeeze(np.array([len(c) for c in codes], np.int64)), *kept]
+            return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, arrow, strict=True)], schema=arrow)
+
+        for b in batches:
+            rest = [b.column(i).to_pylist() for i in range(1, b.num_columns)]
+            for i, t in enumerate(b.column(0).to_pylist()):
+                got = t.encode("utf-8", "surrogatepass").split() if t else []
+                if held and held + len(got) >= block_words:
+                    yield done()
+                    words, codes, kept, held = {}, [], [[] for _ in keep], 0
+                new = words.setdefault
+                codes.append(np.array([new(w, len(words)) for w in got], np.int32))
+                for k, values in zip(kept, rest, strict=True):
+                    k.append(values[i])
+                held += len(got) + 1
+        if codes:
+            yield done()
+
+    return docs.select(text, *keep).mapInArrow(run, kind).withColumn("block", F.monotonically_increasing_id())
+
+
+def words_of(row: dict) -> list[bytes]:
+    joined = expand(row["words"], "u1").tobytes()
+    return joined.split(b"\n") if joined else []
 
 
 def perplexities(docs: DataFrame, model: DataFrame, *, keep: list[str], text: str = "text", order: int = ORDER, block_words: int = BLOCK_WORDS) -> DataFrame:
     """keep, n_bytes, log10_prob, perplexity: one row per row of ``docs``."""
-    bounded_batches(docs.sparkSession)
-    source = docs.select(text, *keep)
+    spark = docs.sparkSession
+    blocks = cut(make_blocks(docs, text=text, keep=keep, block_words=block_words), "spelled")
     shards = max(1, -(-model.count() // SHARD_KEYS))
     kind, arrow = schema_of("shard long, block long, ids binary")
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for row in b.to_pylist():
+                words = words_of(row)
+                if not words:
+                    continue
+                flat, place = spell(words)
+                ids = np.concatenate([np.unique(x) for pair in parts(np.unique(grams(flat, place, order)), order) for x in pair])
+                ids.sort()
+                to = shard_of(ids, shards)
+                by = np.argsort(to, kind="stable")
+                some, starts = np.unique(to[by], return_index=True)
+                for s, part in zip(some.tolist(), np.split(ids[by], starts[1:]), strict=True):
+                    yield s, row["block"], squeeze(np.diff(part, prepend=np.uint64(0)))
+
     def messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, words, *_ in scanned(batches, block_words):
-            if not words:
-                continue
-            flat, place = spell(words)
-            ids = np.concatenate([np.unique(x) for pair in parts(np.unique(grams(flat, place, order)), order) for x in pair])
-            ids.sort()
-            to = shard_of(ids, shards)
-            by = np.argsort(to, kind="stable")
-            some, starts = np.unique(to[by], return_index=True)
-            for s, part in zip(some.tolist(), np.split(ids[by], starts[1:]), strict=True):
-                cells = [s, block, squeeze(np.diff(part, prepend=np.uint64(0)))]
-                yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, arrow, strict=True)], schema=arrow)
-
-    sent = cut(source.mapInArrow(messages, kind).distinct(), "messages")
+        lean()
+        yield from rows_to_batches(ask(batches), arrow)
+
+    sent = cut(blocks.select("block", "words").mapInArrow(messages, kind), "messages")
     copies = max(1, -(-sent.count() // (MESSAGES * shards)))
     dealt = sent.withColumn("copy", F.pmod(F.xxhash64("block"), F.lit(copies)))
     put, row = schema_of("shard long, id long, value double")
@@ -213,6 +225,7 @@ def perplexities(docs: DataFrame, model: DataFrame, *, keep: list[str], text: st
     back, told = schema_of("block long, ids binary, found binary, value binary")
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         ids = right.column("id").to_numpy().view(np.uint64)
         by = np.argsort(ids)
         ids, value = ids[by], right.column("value").to_numpy()[by].astype("<f4")
@@ -227,16 +240,10 @@ def perplexities(docs: DataFrame, model: DataFrame, *, keep: list[str], text: st
 
     replies = dealt.groupBy("shard", "copy").cogroup(table.groupBy("shard", "copy")).applyInArrow(answer, back)
     extra = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    packed, one = schema_of("block long, words binary, codes binary, sizes binary, " + ", ".join(f"`{c}` array<{docs.schema[c].dataType.simpleString()}>" for c in keep))
     final, scored = schema_of(f"{extra}, n_bytes long, log10_prob double, perplexity double")
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, words, codes, sizes, kept in scanned(batches, block_words):
-            joined = np.frombuffer(b"\n".join(words), np.uint8) if words else np.zeros(0, np.uint8)
-            cells = [block, squeeze(joined), squeeze(codes), squeeze(sizes), *kept]
-            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, one, strict=True)], schema=one)
-
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         out = []
         got = right.to_pylist()
         ids = np.concatenate([np.cumsum(expand(r["ids"], "u8"), dtype=np.uint64) for r in got]) if got else np.zeros(0, np.uint64)
@@ -248,23 +255,20 @@ def perplexities(docs: DataFrame, model: DataFrame, *, keep: list[str], text: st
             at += int.from_bytes(r["found"][:8], "little")
         by = np.argsort(ids)
         ids, known = ids[by], known[by]
-        score = None
         for r in left.to_pylist():
             codes, sizes = expand(r["codes"], "i4"), expand(r["sizes"], "i8")
-            if score is None:
-                words = expand(r["words"], "u1").tobytes()
-                score, size = word_scores(words.split(b"\n") if len(codes) else [], ids, known, order)
+            score, size = word_scores(words_of(r), ids, known, order)
             ends = np.cumsum(sizes)
             total = np.r_[0.0, np.cumsum(score[codes])] if len(codes) else np.zeros(1)
             many = np.r_[0, np.cumsum(size[codes])] if len(codes) else np.zeros(1, np.int64)
             logs, n = total[ends] - total[ends - sizes], many[ends] - many[ends - sizes]
             cells = [*[r[c] for c in keep], n, logs, 10 ** (-logs / np.maximum(n, 1))]
             out.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cells, scored, strict=True)], schema=scored))
-        if out and any(len(t) for t in out) and not got and any(t.column("n_bytes").to_numpy().any() for t in out):
-            raise RuntimeError("a block was packed differently the second time")
         return pa.concat_tables(out) if out else pa.Table.from_batches([], schema=scored)
 
-    return source.mapInArrow(blocks, packed).groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(meet, final)
+    got = cut(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(meet, final), "perplexities")
+    drop_tables(spark, blocks, sent)
+    return got
 
 
 def word_scores(words: list[bytes], ids: np.ndarray, known: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +290,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
     some = good.filter(fold).orderBy(F.xxhash64(F.col(key), F.lit(1)), key).limit(sample)
     texts = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(some), key, "left_semi")  # at most ``sample`` keys
     model = train(texts.select("text"), order)
-    got = cut(perplexities(docs, model, keep=[key, lang], text=text, order=order), "perplexities")
+    got = perplexities(docs, model, keep=[key, lang], text=text, order=order)
     calm = got.filter(~fold & (F.col("n_bytes") > 0)).join(good, key, "left_semi")
     points = F.percentile_approx("perplexity", [0.5, upper], 10000).alias("q")
     bound = lambda: (F.col("q")[0] + spread * (F.col("q")[1] - F.col("q")[0]))

@@ -12,8 +12,8 @@ removed. Any repeat of PASSAGE_WORDS or more has such a run, and nothing of
 less than RUN words is touched unless it is a whole line.
 
 Digests are grouped over all documents: texts are packed into blocks, a block
-reports each of its distinct digests once to the shard of that digest, with the
-least key that has it there, and a shard answers with the least key of all.
+reports each of its distinct digests once, with the least key that has it
+there, through the tree of :mod:`.exchange`, and is told the least key of all.
 So a passage that a third of all documents hold costs one entry a block and
 meets nowhere more often. The occurrence in the document of least key stays,
 all others are removed; within a document the first stays and later ones that
@@ -36,8 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow_map import bounded_batches, map_batches, schema_of
-from .ngram_shards import by_shard, expand, mix, squeeze
+from . import exchange as X
+from .arrow_map import bounded_batches, lean, map_batches, schema_of
+from .exchange import expand, mix, squeeze
 from .session import cut, drop_tables, free_name, read_table
 
 LEAST_WORDS = 1
@@ -45,8 +46,8 @@ WINDOW, REACH = 16, 4
 #: A repeat of PASSAGE_WORDS has a run of RUN at least.
 PASSAGE_WORDS = 50
 RUN = PASSAGE_WORDS - 2 * (REACH - 1)
-BLOCK_WORDS = 1_500_000
-SHARD_UNITS = 1_200_000
+BLOCK_WORDS = 1_000_000
+NODE_KEYS = 1_000_000
 #: Characters hashed at once.
 CHUNK = 1 << 20
 FIRST = -(1 << 63)
@@ -133,6 +134,7 @@ def make_blocks(docs: DataFrame, *, key: str, text: str, least: int, block_words
     kind, arrow = schema_of("n_units long, keys binary, rows binary, sizes binary, " + ", ".join(f"`{n}` binary" for n, _ in FIELDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         units = Units(least)
         keys: list[int] = []
         rows: list[int] = []
@@ -185,45 +187,24 @@ class Block:
         self.distinct = d[self.heads]
 
 
-def ask(blocks: DataFrame, shards: int) -> DataFrame:
-    """(shard, block, digests, least, more): each distinct digest of a block with its least key there, and whether others have it."""
-    kind, arrow = schema_of("shard long, block long, digests binary, least binary, more binary")
+def ask(blocks: DataFrame, tree: X.Tree) -> DataFrame:
+    """Each distinct digest of a block with its least key there, and whether others have it, to the first level of the tree."""
+    kind, arrow = schema_of(X.MESSAGE)
+    least = X.Least()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for row in b.to_pylist():
                 x = Block(row)
                 k = x.key[x.order]
-                least, most = k[x.heads], k[np.r_[x.heads[1:], len(k)] - 1]
-                for s, (at,) in by_shard([x.distinct], shards):
-                    cells = [s, row["block"], squeeze(np.diff(x.distinct[at], prepend=np.uint64(0))), squeeze(least[at]), squeeze((most > least)[at].astype("u1"))]
-                    yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, arrow, strict=True)], schema=arrow)
-
-    return blocks.mapInArrow(run, kind)
-
+                first, last = k[x.heads], k[np.r_[x.heads[1:], len(k)] - 1]
+                yield from X.messages(row["block"], x.distinct, (first, (last > first).astype("u1")), least, tree)
 
-def earliest(messages: DataFrame) -> DataFrame:
-    """(block, shard, hit, kept): which digests of each message several keys have, and the least of these keys."""
-    kind, arrow = schema_of("block long, shard long, hit binary, kept binary")
-
-    def tell(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        digests = [np.cumsum(expand(r["digests"], "u8"), dtype=np.uint64) for r in rows]
-        flat = np.concatenate(digests)
-        least, more = (np.concatenate([expand(r[c], t) for r in rows]) for c, t in (("least", "i8"), ("more", "u1")))
-        order = np.lexsort((least, flat))
-        d, k = flat[order], least[order]
-        heads = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-        last = np.r_[heads[1:], len(d)] - 1
-        hit = (k[last] > k[heads]) | (np.maximum.reduceat(more[order], heads) > 0)
-        sizes = last - heads + 1
-        shared, kept = np.empty(len(d), bool), np.empty(len(d), np.int64)
-        shared[order], kept[order] = np.repeat(hit, sizes), np.repeat(k[heads], sizes)
-        at = np.cumsum([len(x) for x in digests])[:-1]
-        out = [(r["block"], r["shard"], squeeze(h.astype("u1")), squeeze(x[h])) for r, h, x in zip(rows, np.split(shared, at), np.split(kept, at), strict=True)]
-        return pa.Table.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        yield from X.rows_to_batches(rows(batches), arrow)
 
-    return messages.groupBy("shard").applyInArrow(tell, kind)
+    return blocks.mapInArrow(run, kind)
 
 
 def removed(x: Block, hit: np.ndarray, kept: np.ndarray, run: int = RUN) -> list[tuple[int, int, int, int, int]]:
@@ -262,28 +243,27 @@ def removed(x: Block, hit: np.ndarray, kept: np.ndarray, run: int = RUN) -> list
     return [(d, s, e, t - f, k) for d, s, e, f, t, k in out]
 
 
-def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, block_words: int = BLOCK_WORDS, fan: int = X.FAN) -> DataFrame:
     """One row per removed part: (key, row, start, end, n_words, kept_key); parts of one text don't overlap."""
-    blocks = cut(make_blocks(docs, key=key, text=text, least=least), "units")
-    shards = max(1, -(-(blocks.agg(F.sum("n_units")).first()[0] or 0) // SHARD_UNITS))
-    replies = cut(earliest(ask(blocks, shards)), "earliest")
+    blocks = cut(make_blocks(docs, key=key, text=text, least=least, block_words=block_words), "units")
+    units, many = blocks.agg(X.total("n_units"), F.count(F.lit(1))).first()
+    tree, values = X.plan(many, units, NODE_KEYS, fan), X.Least()
+    replies, _ = X.gather(ask(blocks, tree), values, tree, "units")
     kind, arrow = schema_of("key long, row long, start int, end int, n_words int, kept_key long")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         out: list[list] = [[] for _ in arrow]
-        by = {r["shard"]: r for r in right.to_pylist()}
         for row in left.to_pylist():
             x = Block(row)
-            told = [by[s] for s in sorted(by)]
-            hit = np.concatenate([expand(r["hit"], "u1") for r in told]).astype(bool)
-            kept = np.zeros(len(hit), np.int64)
-            kept[hit] = np.concatenate([expand(r["kept"], "i8") for r in told])
-            for d, s, e, n, k in removed(x, hit, kept):
+            kept, hit = X.whole(right, values)
+            for d, s, e, n, k in removed(x, hit.astype(bool), kept):
                 for c, v in zip(out, (x.keys[d], x.rows[d], s, e, n, k), strict=True):
                     c.append(int(v))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
 
-    got = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(meet, kind)
+    left, right = X.with_replies(blocks, replies, many)
+    got = left.cogroup(right).applyInArrow(meet, kind)
     null = lambda c: F.when(F.col(c) != FIRST, F.col(c)).alias(c)
     out = cut(got.select(null("key"), "row", "start", "end", "n_words", null("kept_key")), "repeats")
     drop_tables(docs.sparkSession, blocks, replies)

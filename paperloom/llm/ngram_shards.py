@@ -1,15 +1,13 @@
-"""Counting n-grams in shards, and bringing the counts back to the texts.
+"""Texts as blocks of codes, and the n-grams that a block asks about.
 
 Documents are packed into blocks of a bounded number of tokens. A block asks
-for each of its distinct n-grams once, with its own count, in one message per
-shard; shards are ranges of the 64-bit hash, as many as the tokens demand. A
-shard adds up what all blocks report and answers each block in the order it
-asked. So a frequent n-gram costs one entry per block and never meets in one
-place more often than that; no vocabulary or count table is broadcast or
-collected, and all state is bounded by the size of a block or a shard.
-
-Hashes stand for words and n-grams; with 64 bits a collision changes a count
-of about one n-gram in a billion at a billion distinct n-grams.
+once for each of its distinct n-grams, with its own count, through the tree of
+:mod:`.exchange`; no vocabulary or count table is broadcast or collected, and
+all state is bounded by the size of a block or of a node.
+
+Hashes stand for words and n-grams, their lowest two bits telling the order;
+with 62 bits left a collision changes a count of about one n-gram in a billion
+at a billion distinct n-grams.
 """
 
 from __future__ import annotations
@@ -22,52 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_map import bounded_batches, schema_of
+from .arrow_map import bounded_batches, lean, schema_of
+from .exchange import MESSAGE, Sums, Tree, expand, messages, mix, rows_to_batches, squeeze
 
-BLOCK_TOKENS = 1_500_000
-SHARD_KEYS = 750_000
+BLOCK_TOKENS = 1_000_000
+NODE_KEYS = 750_000
 #: Codes of the start and the end of a text; words follow.
 BOS, END = 0, 1
 HASH_OF = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
-
-
-def squeeze(a: np.ndarray) -> bytes:
-    """Bytes of an integer array, plane by plane, compressed."""
-    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T)
-    return len(a).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def expand(b: bytes, dtype: str) -> np.ndarray:
-    n, kind = int.from_bytes(b[:8], "little"), np.dtype(dtype)
-    if not n:
-        return np.zeros(0, kind)
-    flat = pa.decompress(b[8:], decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel()
-
-
-def small(a: np.ndarray) -> bytes:
-    """Counts, mostly small: a byte each, larger ones apart."""
-    big = a >= 255
-    head = np.where(big, 255, a).astype(np.uint8)
-    return squeeze(head) + b"|" + a[big].astype("<i8").tobytes() if big.any() else squeeze(head) + b"|"
-
-
-def large(b: bytes, n: int) -> np.ndarray:
-    """The counts of :func:`small`; the part of large ones starts behind the last ``|`` that fits."""
-    at = len(b) - 1
-    while b[at : at + 1] != b"|" or (len(b) - 1 - at) % 8:
-        at -= 1
-    a = expand(b[:at], "u1").astype(np.int64)
-    a[a == 255] = np.frombuffer(b[at + 1 :], "<i8")
-    return a
-
-
-def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hash of an n-gram from that of its context and of its last word."""
-    x = a * np.uint64(0x9E3779B97F4A7C15) + b + np.uint64(0x632BE59BD9B4E019)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+ORDERS = 4
 
 
 class Block:
@@ -75,24 +36,24 @@ class Block:
 
     def __init__(self, codes: np.ndarray, sizes: np.ndarray, vocab: np.ndarray):
         self.codes, self.sizes, self.vocab = codes, sizes, vocab
-        starts = np.cumsum(sizes) - sizes
-        self.before = np.empty_like(codes)
-        self.before[1:] = codes[:-1]
-        self.before[starts] = BOS
-        self.starts = starts
-
-    def keys(self, order: int) -> list[np.ndarray]:
-        """Hashes of the n-gram that ends at each token, for orders 1 to ``order``."""
+        self.starts = np.cumsum(sizes) - sizes
+
+    def keys(self, order: int) -> Iterator[np.ndarray]:
+        """Hashes of the n-gram that ends at each token, for orders 2 to ``order``."""
         last = self.vocab[self.codes]
-        out = [last]
-        start = np.uint64(HASH_OF[BOS])
+        now, start = last, np.uint64(HASH_OF[BOS])
         for _ in range(order - 1):
             context = np.empty_like(last)
-            context[1:] = out[-1][:-1]
+            context[1:] = now[:-1]
             context[self.starts] = start
             start = mix(np.array([start]), np.array([HASH_OF[BOS]], np.uint64))[0]
-            out.append(mix(context, last))
-        return out
+            now = mix(context, last)
+            yield now
+
+
+def tagged(keys: np.ndarray, order: int) -> np.ndarray:
+    """Keys of one order, told apart from those of others by their lowest bits."""
+    return keys & ~np.uint64(ORDERS - 1) | np.uint64(order - 1)
 
 
 def make_blocks(docs: DataFrame, *, text: str, train: str, keep: list[str], block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -103,6 +64,8 @@ def make_blocks(docs: DataFrame, *, text: str, train: str, keep: list[str], bloc
     digest = xxhash.xxh3_64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+
         def fresh():
             return {}, [], [], [], [[] for _ in keep]
 
@@ -142,99 +105,40 @@ def read_block(row: dict) -> Block:
     return Block(expand(row["codes"], "i4"), expand(row["sizes"], "i4").astype(np.int64), np.frombuffer(row["vocab"], np.uint64))
 
 
-def by_shard(sorted_keys: list[np.ndarray], shards: int) -> Iterator[tuple[int, list[slice]]]:
-    """The shards that hold any of the keys (ranges of the 64 bits, by the upper 32), and where in each array."""
-    to = [(k >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32) for k in sorted_keys]
-    some = np.unique(np.concatenate([np.unique(t) for t in to]))
-    starts, ends = ([np.searchsorted(t, some, side=side) for t in to] for side in ("left", "right"))
-    for i, s in enumerate(some.tolist()):
-        yield s, [slice(int(a[i]), int(b[i])) for a, b in zip(starts, ends, strict=True)]
-
+def asked(block: Block, order: int, flags: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(sorted distinct keys of all orders, their places, trained counts).
 
-def asked(block: Block, order: int, flags: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """For each order: sorted distinct keys, the position of each token's key, and trained counts."""
+    The first places are those of the vocabulary's words, the others those of
+    each token's n-gram by order.
+    """
     trained = np.repeat(flags, block.sizes)
-    found, inverses, counts = [], [], []
-    for k, keys in enumerate(block.keys(order)):
-        if k == 0:
-            distinct, where = np.unique(block.vocab, return_inverse=True)
-            inverse = where[block.codes]
-        else:
-            distinct, inverse = np.unique(keys, return_inverse=True)
-        found.append(distinct)
-        inverses.append(inverse)
-        counts.append(np.bincount(inverse[trained], minlength=len(distinct)))
-    return found, inverses, counts
-
-
-def ask(blocks: DataFrame, order: int, shards: int, counted: bool = True) -> DataFrame:
-    """(shard, block, sizes, keys, counts): the messages to the shards; no message where nothing is asked."""
-    kind, arrow = schema_of("shard long, block long, sizes array<int>, keys binary, counts binary")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, places, counts = [], [], []
+    for k, each in enumerate([block.vocab, *block.keys(order)], 1):
+        distinct, where = np.unique(tagged(each, k), return_inverse=True)
+        tokens = where[block.codes] if k == 1 else where
+        keys.append(distinct)
+        places.append(where + sum(map(len, keys[:-1])))
+        counts.append(np.bincount(tokens[trained], minlength=len(distinct)))
+    flat = np.concatenate(keys)
+    by = np.argsort(flat, kind="stable")
+    to = np.empty(len(by), np.int64)
+    to[by] = np.arange(len(by))
+    return flat[by], [to[p] for p in places], np.concatenate(counts)[by]
+
+
+def ask(blocks: DataFrame, order: int, tree: Tree) -> DataFrame:
+    """Each block's n-grams with their counts there, to the first level of the tree."""
+    kind, arrow = schema_of(MESSAGE)
+    sums = Sums()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for row in b.to_pylist():
-                found, _, counts = asked(read_block(row), order, np.array(row["train"], bool))
-                for s, parts in by_shard(found, shards):
-                    sizes = [p.stop - p.start for p in parts]
-                    keys = np.concatenate([np.diff(d[p], prepend=np.uint64(0)) for d, p in zip(found, parts, strict=True)])
-                    n = small(np.concatenate([c[p] for c, p in zip(counts, parts, strict=True)])) if counted else b""
-                    cells = [s, row["block"], sizes, squeeze(keys), n]
-                    yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, arrow, strict=True)], schema=arrow)
-
-    return blocks.mapInArrow(run, kind)
+                keys, _, counts = asked(read_block(row), order, np.array(row["train"], bool))
+                yield from messages(row["block"], keys, (counts,), sums, tree)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        yield from rows_to_batches(rows(batches), arrow)
 
-def keys_of(row: dict) -> list[np.ndarray]:
-    """The keys of one message, by order."""
-    flat, out, at = expand(row["keys"], "u8"), [], 0
-    for n in row["sizes"]:
-        out.append(np.cumsum(flat[at : at + n], dtype=np.uint64))
-        at += n
-    return out
-
-
-def add_up(messages: DataFrame) -> DataFrame:
-    """(block, shard, kinds, totals): the answer to each message, and per shard one row of block -1 with the number of counted words."""
-    kind, arrow = schema_of("block long, shard long, kinds long, totals binary")
-
-    def total(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        out = []
-        kinds = 0
-        keys, counts = [keys_of(r) for r in rows], [large(r["counts"], 0) for r in rows]
-        orders = len(rows[0]["sizes"])
-        told: list[list[np.ndarray]] = [[] for _ in rows]
-        for k in range(orders):
-            ns = [r["sizes"][k] for r in rows]
-            offs = [sum(r["sizes"][:k]) for r in rows]
-            flat = np.concatenate([x[k] for x in keys])
-            if not len(flat):
-                for t in told:
-                    t.append(np.zeros(0, np.int64))
-                continue
-            n = np.concatenate([c[o : o + m] for c, o, m in zip(counts, offs, ns, strict=True)])
-            _, inverse = np.unique(flat, return_inverse=True)
-            sums = np.bincount(inverse, weights=n).astype(np.int64)
-            if k == 0:
-                kinds = int((sums > 0).sum())
-            for t, part in zip(told, np.split(sums[inverse], np.cumsum(ns)[:-1]), strict=True):
-                t.append(part)
-        shard = rows[0]["shard"]
-        out = [(r["block"], shard, 0, small(np.concatenate(t))) for r, t in zip(rows, told, strict=True)]
-        out.append((-1, shard, kinds, b""))
-        return pa.Table.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
-
-    return messages.groupBy("shard").applyInArrow(total, kind)
-
-
-def answers(replies: list[dict], found: list[np.ndarray], shards: int) -> list[np.ndarray]:
-    """Replies to one block, put together per order in the order of its keys."""
-    by = {r["shard"]: r for r in replies}
-    out: list[list[np.ndarray]] = [[] for _ in found]
-    for s, parts in by_shard(found, shards):
-        got, at = large(by[s]["totals"], 0), 0
-        for o, p in zip(out, parts, strict=True):
-            o.append(got[at : at + p.stop - p.start])
-            at += p.stop - p.start
-    return [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
+    return blocks.mapInArrow(run, kind)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from paperloom.llm import components, deleted_interpolation, kneser_ney, line_dedup, maxscore, ngram_shards, simhash, skew
+from paperloom.llm import components, deleted_interpolation, exchange, kneser_ney, line_dedup, maxscore, ngram_shards, simhash, skew
 from paperloom.llm.catalog import ORACLES, QUERIES
 
 
@@ -26,22 +26,67 @@ def corpus(n, seed=0, words=60):
 
 def test_packed_counts():
     for a in ([], [0, 1, 254, 255, 256, 10**12, 124], [124] * 9):
-        assert ngram_shards.large(ngram_shards.small(np.array(a, np.int64)), 0).tolist() == a
+        assert exchange.large(exchange.small(np.array(a, np.int64))).tolist() == a
     r = np.random.default_rng(0)
     for _ in range(200):
         a = r.integers(0, 2 ** r.integers(1, 40), r.integers(0, 50))
-        assert (ngram_shards.large(ngram_shards.small(a), 0) == a).all()
+        assert (exchange.large(exchange.small(a)) == a).all()
         b = r.integers(0, 2**63, r.integers(0, 50)).astype(np.uint64)
-        assert (ngram_shards.expand(ngram_shards.squeeze(b), "u8") == b).all()
+        assert (exchange.expand(exchange.squeeze(b), "u8") == b).all()
+
+
+def test_exchange(spark):
+    """Sums and least numbers over trees of one to three levels, as a dictionary has them."""
+    r = np.random.default_rng(5)
+    blocks = {i: np.unique(r.integers(0, 2**63, 40).astype(np.uint64) % np.uint64(97) << np.uint64(57)) for i in range(20)}
+    n = {i: r.integers(1, 300, len(k)) for i, k in blocks.items()}
+    for fan, levels in ((64, 1), (5, 2), (3, 3)):
+        tree = exchange.plan(len(blocks), 800, 30, fan)
+        assert tree.levels == levels and all(b % a == 0 for a, b in zip(tree.ranges, tree.ranges[1:], strict=False))
+        for kind, values in ((exchange.Sums(), lambda i: (n[i],)), (exchange.Least(), lambda i: (n[i].astype(np.int64), (n[i] % 2).astype("u1")))):
+            rows = [m for i, k in blocks.items() for m in exchange.messages(i, k, values(i), kind, tree)]
+            replies, tally = exchange.gather(spark.createDataFrame(rows, exchange.MESSAGE), kind, tree, "test")
+            back = {c: exchange.whole(g, kind) for c, g in by_child(replies.toArrow()).items()}
+            every = collections.defaultdict(list)
+            for i, k in blocks.items():
+                for key, *v in zip(k.tolist(), *values(i), strict=True):
+                    every[key].append(v)
+            assert set(back) == set(blocks)
+            for i, k in blocks.items():
+                if isinstance(kind, exchange.Sums):
+                    assert back[i][0].tolist() == [sum(v[0] for v in every[x]) for x in k.tolist()] and tally == len(every)
+                else:
+                    more = [any(v[1] for v in every[x]) or len({v[0] for v in every[x]}) > 1 for x in k.tolist()]
+                    assert back[i][1].tolist() == more and back[i][0].tolist() == [min(v[0] for v in every[x]) if m else 0 for x, m in zip(k.tolist(), more, strict=True)]
+
+
+def by_child(table):
+    import pyarrow.compute as pc
+
+    return {c: table.filter(pc.equal(table.column("child"), c)) for c in set(table.column("child").to_pylist())}
+
+
+def test_messages_grow_with_the_input():
+    """Sixteen times the blocks, each as large as before: sixteen times the messages, of the same size."""
+    r = np.random.default_rng(6)
+    keys = np.unique(r.integers(0, 2**64, 100_000, np.uint64))
+    ones = (np.ones(len(keys), np.int64),)
+    sent = {}
+    for blocks in (300, 4800, 76_800):
+        tree = exchange.plan(blocks, blocks * len(keys), 75_000)
+        each = len(list(exchange.messages(1, keys, ones, exchange.Sums(), tree)))
+        # A node of level k sends a message to each of its ranges of level k + 1.
+        sent[blocks] = blocks * each + sum(tree.nodes(k) * tree.ranges[k] // tree.ranges[k - 1] for k in range(1, tree.levels))
+    assert sent[4800] < 1.5 * 16 * sent[300] and sent[76_800] < 2.5 * 16 * sent[4800]
+    assert sent[76_800] < 76_800 * 3 * 2 * exchange.FAN
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_deleted_interpolation(make, monkeypatch, order):
-    monkeypatch.setattr(ngram_shards, "SHARD_KEYS", 400)
-    monkeypatch.setattr(ngram_shards.make_blocks, "__kwdefaults__", ngram_shards.make_blocks.__kwdefaults__ | {"block_tokens": 300})
+    monkeypatch.setattr(ngram_shards, "NODE_KEYS", 400)
     texts = [*corpus(120), None, ""]
     docs = make(texts).withColumn("tr", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1)
-    got = {r.doc_id: r for r in deleted_interpolation.score_texts(docs, "tr", keep=["doc_id"], order=order).collect()}
+    got = {r.doc_id: r for r in deleted_interpolation.score_texts(docs, "tr", keep=["doc_id"], order=order, block_tokens=300, fan=3).collect()}
     train = {i: zlib.crc32(str(i).encode()) % 5 != 1 for i in range(len(texts))}
     tokens = {i: [x.encode() for x in (t or "").lower().split()] + ["END"] for i, t in enumerate(texts)}
     counts = [collections.Counter() for _ in range(order + 1)]
@@ -51,8 +96,32 @@ def test_deleted_interpolation(make, monkeypatch, order):
             for j in range(len(t)):
                 for k in range(1, order + 1):
                     counts[k][tuple(padded[j + order - k : j + order])] += 1
-    n, kinds = sum(counts[1].values()), len(counts[1])
+    n, kinds, starts = sum(counts[1].values()), len(counts[1]), sum(train.values())
     assert len(got) == len(texts)
+
+    def seen(t, j, less):
+        """(estimates by order, bucket) of token j with ``less`` occurrences left out."""
+        padded, out = ["BOS"] * (order - 1) + t, []
+        for k in range(1, order + 1):
+            gram = tuple(padded[j + order - k : j + order])
+            above = n if k == 1 else starts if set(gram[:-1]) == {"BOS"} else counts[k - 1][gram[:-1]]
+            out.append(max(counts[k][gram] - less, 0) / max(above - less, 1))
+        return out, 1 + (above - less).bit_length() - 1 if above - less > 0 else 0
+
+    cells: dict = {}
+    for i, t in tokens.items():
+        for j in range(len(t)) if train[i] else ():
+            e, b = seen(t, j, 1)
+            logs = [math.log2(x * (kinds + 1)) if x else -math.inf for x in e]
+            cells.setdefault((b, *(deleted_interpolation.step(np.array(logs)).tolist())), []).append(logs)
+    ratios = np.array([[2 ** (sum(x) / len(x)) if x[0] > -math.inf else 0.0 for x in zip(*v, strict=True)] for v in cells.values()])
+    weights = deleted_interpolation.learn(np.array([c[0] for c in cells]), ratios, np.array([len(v) for v in cells.values()], float), order)
+    for i, t in tokens.items():
+        want = 0.0
+        for j in range(len(t)):
+            e, b = seen(t, j, 0)
+            want += math.log10(weights[b] @ [*e, 1 / (kinds + 1)])
+        assert got[i].score == pytest.approx(want, rel=1e-4)
     better = [0.0, 0.0]
     for i, t in tokens.items():
         base = sum(math.log10((counts[1][(w,)] + 0.5) / (n + 0.5 * (kinds + 1))) for w in t)
@@ -237,8 +306,8 @@ def test_split_lookup(spark, monkeypatch):
 
 
 def small_blocks(monkeypatch):
-    monkeypatch.setattr(line_dedup, "SHARD_UNITS", 20)
-    monkeypatch.setattr(line_dedup.make_blocks, "__kwdefaults__", line_dedup.make_blocks.__kwdefaults__ | {"block_words": 100})
+    monkeypatch.setattr(line_dedup, "NODE_KEYS", 20)
+    monkeypatch.setattr(line_dedup.repeats, "__kwdefaults__", line_dedup.repeats.__kwdefaults__ | {"block_words": 100, "fan": 3})
 
 
 def test_line_dedup(make, odd, monkeypatch):
