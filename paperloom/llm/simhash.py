@@ -1,13 +1,15 @@
 """SimHash near-duplicates by anchor-point covering.
 
 A text's fingerprint has bit i set if over half of its shingles' hashes have.
-The anchors are the words of a covering code on 46 of the 64 bits: the product
-of two perfect Golay codes of length 23, dimension 12 and covering radius 3,
-so 2**24 anchors. Every fingerprint lies within radius 3 of its home anchor in
-either half; one that differs from it in at most two bits lies within 3 plus
-its differences in that half. So each fingerprint goes to all anchors within
-covering radius plus threshold, the threshold being shared by the halves (61
-anchors on average), and any two that link meet at the home of either. At an
+The anchors are the words of a covering code on 61 of the 64 bits: the product
+of two perfect Golay codes of length 23 and covering radius 3 and a perfect
+Hamming code of length 15 and covering radius 1, so 2**35 anchors, among which
+even very many fingerprints lie thin. Every fingerprint lies within the radius
+of its home anchor in each part; one that differs from it in at most two bits
+lies within the radius plus its differences in that part. So each fingerprint
+goes to all anchors within covering radius plus threshold, the threshold being
+shared by the parts (153 anchors on average), and any two that link meet at the
+home of either. At an
 anchor they are compared in full and contracted to local components, so no
 anchor emits more rows than it got; the components are then joined globally.
 
@@ -24,7 +26,7 @@ are ignored, or passed on by :func:`keep_one`.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow_map import bounded_batches, map_batches, schema_of
+from .arrow_map import bounded_batches, lean, map_batches, schema_of
 from .components import components
 from .session import cut, free_name, read_table
 from .skew import split_lookup
 
 GOLAY = 0b110001110101  # generator polynomial of the [23, 12] code
-BITS = 23
+HAMMING = 0b10011  # and of the [15, 11] code
 THRESHOLD = 2
 
 
@@ -72,69 +74,61 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wi
     return map_batches(docs.select(key, text), make, f"key {docs.schema[key].dataType.simpleString()}, fp long").withColumnRenamed("key", key)
 
 
-class Anchors:
-    """The covering code: home anchors, and all anchors within reach."""
+class Perfect:
+    """A perfect cyclic code: every word is within ``radius`` of exactly one code word."""
 
-    def __init__(self):
-        patterns, weights = [0], [0]
-        for w in range(1, 6):
-            some = [sum(1 << i for i in c) for c in combinations(range(BITS), w)]
-            patterns += some
-            weights += [w] * len(some)
-        p, w = np.array(patterns, np.int64), np.array(weights)
-        s = self.syndrome(p)
-        self.leader = np.zeros(1 << 11, np.int64)
-        self.leader[s[w <= 3]] = p[w <= 3]
-        self.by = {}
-        for k in (4, 5):
-            at = np.flatnonzero(w == k)
-            at = at[np.argsort(s[at], kind="stable")]
-            n = np.bincount(s[at], minlength=1 << 11)
-            self.by[k] = (p[at], np.cumsum(n) - n, n)
-
-    @staticmethod
-    def syndrome(x: np.ndarray) -> np.ndarray:
+    def __init__(self, bits: int, generator: int, radius: int, beyond: int = THRESHOLD):
+        self.bits, self.generator, self.check = bits, generator, generator.bit_length() - 1
+        by = [np.array([sum(1 << i for i in c) for c in combinations(range(bits), w)], np.int64) for w in range(radius + beyond + 1)]
+        low = np.concatenate(by[: radius + 1])
+        self.leader = np.zeros(1 << self.check, np.int64)
+        self.leader[self.syndrome(low)] = low
+        self.far = []
+        for p in by[radius + 1 :]:
+            s = self.syndrome(p)
+            n = np.bincount(s, minlength=1 << self.check)
+            self.far.append((p[np.argsort(s, kind="stable")], np.cumsum(n) - n, n))
+
+    def syndrome(self, x: np.ndarray) -> np.ndarray:
         """The remainder by the generator."""
         x = x.copy()
-        for i in range(BITS - 1, 10, -1):
-            x ^= ((x >> i) & 1) * (GOLAY << (i - 11))
+        for i in range(self.bits - 1, self.check - 1, -1):
+            x ^= ((x >> i) & 1) * (self.generator << (i - self.check))
         return x
 
-    def home(self, fp: np.ndarray) -> np.ndarray:
-        a, b = fp & ((1 << BITS) - 1), (fp >> BITS) & ((1 << BITS) - 1)
-        return self.name(a ^ self.leader[self.syndrome(a)], b ^ self.leader[self.syndrome(b)])
+    def words(self, x: np.ndarray, beyond: int) -> tuple[np.ndarray, np.ndarray]:
+        """(position in x, code word, told by its upper bits): the nearest (0), or all at distance radius + ``beyond``."""
+        s = self.syndrome(x)
+        if not beyond:
+            return np.arange(len(x)), (x ^ self.leader[s]) >> self.check
+        p, start, n = self.far[beyond - 1]
+        count = n[s]
+        pos = np.repeat(np.arange(len(x)), count)
+        nth = np.arange(len(pos)) - np.repeat(np.cumsum(count) - count, count)
+        return pos, (x[pos] ^ p[start[s[pos]] + nth]) >> self.check
+
 
-    @staticmethod
-    def name(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """A code word is told by its upper twelve bits."""
-        return ((a >> 11) << 12 | (b >> 11)).astype(np.int64)
+class Anchors:
+    """The covering code, a product of perfect codes: home anchors, and all anchors within reach."""
+
+    def __init__(self):
+        self.parts = [Perfect(23, GOLAY, 3), Perfect(23, GOLAY, 3), Perfect(15, HAMMING, 1)]
+
+    def name(self, fp: np.ndarray, beyond: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, anchor): the anchors whose parts lie so far beyond the radius of their codes."""
+        row, anchor, at = np.arange(len(fp)), np.zeros(len(fp), np.int64), 0
+        for code, far in zip(self.parts, beyond, strict=True):
+            pos, word = code.words((fp[row] >> at) & ((1 << code.bits) - 1), far)
+            row, anchor, at = row[pos], anchor[pos] << (code.bits - code.check) | word, at + code.bits
+        return row, anchor
+
+    def home(self, fp: np.ndarray) -> np.ndarray:
+        return self.name(fp, (0,) * len(self.parts))[1]
 
     def reach(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, anchor) for every anchor of every fingerprint."""
-        half = [fp & ((1 << BITS) - 1), (fp >> BITS) & ((1 << BITS) - 1)]
-        syn = [self.syndrome(x) for x in half]
-        home = [x ^ self.leader[s] for x, s in zip(half, syn, strict=True)]
-        every = np.arange(len(fp))
-
-        def words(side: int, k: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """The code words at distance k from one half of ``rows``: (position in rows, word)."""
-            p, start, n = self.by[k]
-            s = syn[side][rows]
-            count = n[s]
-            pos = np.repeat(np.arange(len(rows)), count)
-            nth = np.arange(len(pos)) - np.repeat(np.cumsum(count) - count, count)
-            return pos, half[side][rows[pos]] ^ p[start[s[pos]] + nth]
-
-        out = [(every, self.name(home[0], home[1]))]
-        for k in (4, 5):
-            r, a = words(0, k, every)
-            out.append((r, self.name(a, home[1][r])))
-            r, b = words(1, k, every)
-            out.append((r, self.name(home[0][r], b)))
-        r, a = words(0, 4, every)
-        pos, b = words(1, 4, r)
-        out.append((r[pos], self.name(a[pos], b)))
-        return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+        """(row, anchor) for every anchor of every fingerprint: the parts share the threshold."""
+        found = [self.name(fp, far) for far in product(range(THRESHOLD + 1), repeat=len(self.parts)) if sum(far) <= THRESHOLD]
+        return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -219,19 +213,21 @@ def _links(anchor: np.ndarray, fp: np.ndarray, code: Anchors) -> tuple[np.ndarra
 def near_links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between the distinct ``fp`` of ``fps`` whose components are those of all links."""
     bounded_batches(fps.sparkSession)
-    kind, arrow = schema_of("anchor int, fp long")
+    kind, arrow = schema_of("anchor long, fp long")
     to, edge = schema_of("a long, b long")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         code = Anchors()
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False)
-            for i in range(0, len(fp), 4096):
-                part = fp[i : i + 4096]
+            for i in range(0, len(fp), 2048):
+                part = fp[i : i + 2048]
                 row, anchor = code.reach(part)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(part[row])], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[row])], schema=arrow)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         code = Anchors()
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
