@@ -16,14 +16,10 @@ on; other columns are ignored, or passed on by :func:`redact`.
 
 from __future__ import annotations
 
-import builtins
-import hashlib
-import keyword
 import math
 import random
 import re
 import string
-import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,34 +33,42 @@ HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 # Runs are greedy and maximal, so a least length in the pattern finds the same runs as a later test does.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-LEAST = 20
+LEAST = 16
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 SEPARATORS = "/_=-"
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 
 
-def labelled_sample(size: int = 4000, seed: int = 7) -> list[tuple[str, bool]]:
-    """At most ``size`` strings of each label; the bound doesn't depend on the corpus."""
-    r = random.Random(seed)
-    kinds = (string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "_-", string.ascii_lowercase + string.digits)
-    out = [("".join(r.choices(kinds[i % len(kinds)], k=r.randint(20, 64))), True) for i in range(size)]
-    names = sorted({*dir(builtins), *keyword.kwlist, *sys.stdlib_module_names, *dir(str), *dir(dict), *dir(math), *dir(random), *dir(re), *dir(hashlib)})
-    parts = sorted({p.lower() for n in names for p in re.findall(r"[A-Za-z]{2,}", n)} | set(SYLLABLES))
-    for _ in range(size):
-        some = r.choices(parts, k=r.randint(2, 6))
-        style = r.randrange(6)
-        word = "_".join(some) if style == 0 else "-".join(some) if style == 1 else "".join(x.capitalize() for x in some) if style == 2 else "/".join(some) if style == 3 else "".join(some)
-        word = word.upper() if style == 5 else word + str(r.randint(0, 99)) * (style == 4 and r.random() < 0.2)
-        out.append((word, False))
-    return out
-
-
-#: Pieces of ordinary words in several languages.
+#: Ordinary words, of which identifiers are joined, and pieces of words in several languages.
+WORDS = (
+    "access account action address alert allow amount append array async author backup balance base batch block border branch buffer build button byte cache call change channel check child class client close code color column command "
+    "common config connect content control copy count create customer data default delete depth device digit display domain double driver element email empty encode entry error event example export extend factory field file filter "
+    "first float folder format frame function global group handler hash header height history host image index init insert integer internal item iterator join json key label language layout length level limit link list load local lock "
+    "main map message method model module name network next node null number object offset option order output owner package page parent path pattern point policy port prefix price process profile proxy query queue range read record "
+    "region request reset result return root route row runtime sample schema score search section select send server service session size sort source split start state status step store string style sum table tag target task test text "
+    "thread time token total tree type under unit update user value vector version view weak width window word write year zone"
+).split()
 SYLLABLES = (
     "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce "
     "tion ment able ness ing ly ough ight ence ance eau aux oir elle ement ique ois vous ere sch ung heit keit lich ein ver ber auf zu "
     "cion ado mente ar os as que ez ll rr ga ja do bo mi ta"
 ).split()
+STYLES = ("_".join, "-".join, "/".join, ".".join, "".join, lambda x: "".join(w.capitalize() for w in x), lambda x: x[0] + "".join(w.capitalize() for w in x[1:]), lambda x: "_".join(x).upper())
+
+
+def labelled_sample(size: int = 4000, seed: int = 7) -> list[tuple[str, bool]]:
+    """At most ``size`` strings of each label, the same everywhere; the bound doesn't depend on the corpus."""
+    r = random.Random(seed)
+    kinds = (string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "_-", string.ascii_lowercase + string.digits)
+    out = [("".join(r.choices(kinds[i % len(kinds)], k=r.randint(16, 64))), True) for i in range(size)]
+    for i in range(size):
+        if i % 40 == 0:  # rules and borders
+            out.append((r.choice("/_=-+") * r.randint(8, 60), False))
+            continue
+        some = r.choices(WORDS if i % 2 else SYLLABLES, k=r.randint(2, 7))
+        word = STYLES[i // 2 % len(STYLES)](some) + (str(r.randint(0, 2100)) if r.random() < 0.1 else "")
+        out.append((f"__{word}__" if i % 20 == 1 else word, False))
+    return out
 
 
 class MarkovRatio:
@@ -116,7 +120,7 @@ def maximal(x: list[float]) -> list[tuple[int, int]]:
 class Scanner:
     """``least``: the smallest ratio in nats; ``per_char``: the smallest ratio a character."""
 
-    def __init__(self, sample: list[tuple[str, bool]] | None = None, least: float = 15.0, per_char: float = 0.5):
+    def __init__(self, sample: list[tuple[str, bool]] | None = None, least: float = 17.0, per_char: float = 0.5):
         self.model = MarkovRatio(labelled_sample() if sample is None else sample)
         self.least, self.per_char = least, per_char
 
@@ -188,7 +192,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: float = 15.0, per_char: float = 0.5) -> DataFrame:
+def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: float = 17.0, per_char: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: key and its spans as an array of structs."""
 
     def make():

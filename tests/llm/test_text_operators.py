@@ -109,6 +109,25 @@ def test_markov_held_out():
     assert right / len(some) > 0.97
 
 
+def test_markov_other_sources():
+    """Secrets and names that have nothing to do with the training sample: digests of counters, and this interpreter's own names."""
+    import base64
+    import hashlib
+    import sys
+
+    s = secret_scan.Scanner()
+    found = lambda x: any(k == 3 and a <= 4 and b >= 4 + len(x) for a, k, b in s.scan(f"see {x} now")[1])
+    digests = [hashlib.sha512(str(i).encode()).digest() for i in range(400)]
+    keys = [x for i, d in enumerate(digests) for x in (base64.b64encode(d).decode()[: 20 + i % 40].rstrip("="), base64.urlsafe_b64encode(d).decode()[:43], base64.b32encode(d).decode()[:32])]
+    hits = sum(map(found, keys))
+    names = sorted({n for m in list(sys.modules.values()) if m and (m.__name__.startswith(("pyspark", "pandas", "email", "xml"))) for n in dir(m) if len(n) >= secret_scan.LEAST and n.isascii()})
+    wrong = sum(map(found, names))
+    assert hits >= 0.97 * len(keys)
+    assert len(names) > 300 and wrong <= 0.01 * len(names)
+    assert hits / (hits + wrong) > 0.98
+    assert s.scan(f"curl https://host.example/v1/files/{keys[1]}/data")[1] and not s.scan("/" * 60 + " " + "=" * 40 + " " + "-" * 30)[1]
+
+
 def test_markov_inside_paths_and_identifiers():
     """Keys behind, before and between ordinary parts are found whole, and the ordinary parts alone aren't."""
     r = random.Random(21)
@@ -211,12 +230,48 @@ P = "<p>Some words that make up a long enough sentence for the article to go on.
         (f"<body><h1>Title</h1>{P}<p>Short.</p></body>", "Title\n\n" + re.sub("<.*?>", "", P) + "\n\nShort."),
         (f"<div class='top'><a href=a>Home</a> | <a href=b>News</a></div><div class=c><h1>T</h1><div>{P[3:-4]}</div></div><div><a href=c>Terms</a> <a href=d>Privacy</a></div>", "T\n\n" + re.sub("<.*?>", "", P)),
         ("<div>" * 9000 + "deep", ""),
+        (f"<head><title>T</title><body><article><h1>H</h1>{P}</article>", "H\n\n" + re.sub("<.*?>", "", P)),
+        (f"<head><meta name=x>Loose words of the page.<article>{P}</article>", re.sub("<.*?>", "", P)),
+        *((f"<div class='{c}'>{P}</div><article><h1>H</h1>{P}</article><div class='{c}'>{P}</div>", "H\n\n" + re.sub("<.*?>", "", P)) for c in ("footer-content", "sidebar content", "cookie-notice-text", "comment-body")),
+        (f"<article>{P}<div class='comment-body'>{P}</div></article>", re.sub("<.*?>", "", P)),
+        (f"<div class='content-sidebar-wrap'><div class='content'>{P}</div><div class='sidebar'>{P}</div></div>", re.sub("<.*?>", "", P)),
+        (f"<article><div class='entry-header'><h1>Top</h1></div>{P}</article>", "Top\n\n" + re.sub("<.*?>", "", P)),
+        ("<article><p>Let <math><mi>x</mi></math> be a number.</p></article>", "Let x be a number."),
+        ("<article><blockquote><p>To be or not.</p><footer>A play</footer></blockquote><footer>The end of it.</footer></article>", "To be or not.\n\nA play"),
     ],
 )
 def test_main_text(html, text):
     assert html_content.main_text(html) == text
 
 
+def test_cut_changes_labels():
+    """Words alone mislead: the cut gets right what signs get wrong."""
+    weights = html_content.fit({})
+    p = html_content.parsed(f"<nav>{P}</nav><article>{P}<p>Of 1999.</p><p>All rights reserved, she said.</p><ul><li><a href=x>Link</a></li></ul>{P}</article><div class='ad'>{P}</div>")
+    want = [b["standing"] == "inside" for b in p.blocks]
+    signs = [x > 0 for x in html_content.scores_of(p.blocks, weights)]
+    assert html_content.content(p, weights) == want != signs and sum(a != b for a, b in zip(signs, want, strict=True)) >= 4
+
+
+def test_classifier_learns_from_elements(spark):
+    """Pages whose articles are lists and whose menus are paragraphs turn the weights of both."""
+    prior = dict(zip(html_content.PRIOR, html_content.fit({}), strict=True))
+    pages = [f"<nav>{P}{P}</nav><article><ul>{'<li>one of these' * 9}</ul></article><p>x{i}" for i in range(60)]
+    frame = spark.createDataFrame([(h,) for h in [*pages, None, "", "<p>no element"]], "html string")
+    got = dict(zip(html_content.PRIOR, html_content.train(frame), strict=True))
+    assert got["item"] > prior["item"] + 0.5 and got["paragraph"] < prior["paragraph"] - 0.5
+    assert list(html_content.train(frame.limit(0))) == list(prior.values())
+    assert all(-html_content.MOST <= x <= html_content.MOST for x in html_content.scores_of(html_content.parsed(pages[0]).blocks, html_content.train(frame, sample=5)))
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    html_content.main_text("".join(f"<div><p>{'some words here now ok. ' * (i % 5)}</p></div>" for i in range(20_000)))
+    assert time.perf_counter() - began < 20
+
+
 def test_pages(spark):
     d = spark.createDataFrame([(1, "u", f"<article>{P}</article>", "x"), (1, "u", None, "x"), (None, None, "<![if]><p", "x")], "page_id long, url string, html string, key string")
     got = html_content.extract(d).collect()
