@@ -72,8 +72,8 @@ PULL, MOST = 30.0, 5.0
 SAYS = {"inside": 1.1, "apart": -1.1}
 #: Prices of a difference: of a block and an element that says something, of kin otherwise, of neighbours in one element, and of others.
 TIE, KIN, NEXT, FAR = 6.0, 0.6, 0.8, 0.2
-#: What names and forms say where no element around does: weak evidence.
-WEAK = {"holder": 3.0, "form": -8.0}
+#: What names and forms say where no element around does, and what a page says that has an article somewhere: weak evidence.
+WEAK = {"holder": 3.0, "form": -8.0, "outside": -3.0}
 
 
 def named(told: str) -> str:
@@ -249,9 +249,16 @@ def fit(counts: dict[tuple[int, bool], int], rounds: int = 50) -> np.ndarray:
         return w
     x = np.array([[k >> i & 1 for i in range(len(prior))] for k, _ in counts], float)
     y, n = np.array([float(c) for _, c in counts]), np.array(list(counts.values()), float)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((n * (np.logaddexp(0, z) - y * z)).sum() + PULL / 2 * ((w - prior) ** 2).sum())
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         move = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + PULL * np.eye(len(w)), x.T @ (n * (y - p)) - PULL * (w - prior))
+        while loss(w + move) > loss(w) and np.abs(move).max() > 1e-9:  # too far
+            move = move / 2
         w = w + move
         if np.abs(move).max() < 1e-9:
             break
@@ -278,7 +285,8 @@ def network(p: _Blocks, weights: np.ndarray) -> tuple[list[float], list[tuple[in
         e = b["element"]
         while e not in number:
             number[e] = len(scores)
-            scores.append(WEAK.get(p.says[e], 0.0) if p.says[e] != p.says[p.above[e]] else 0.0)
+            said = ("outside" if "inside" in p.says else "") if not e else p.says[e] if p.says[e] != p.says[p.above[e]] else ""
+            scores.append(WEAK.get(said, 0.0))
             e = p.above[e]
     for i, b in enumerate(p.blocks):
         edges.append((i, number[b["element"]], TIE if b["standing"] else KIN))
