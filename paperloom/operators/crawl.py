@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom import schemas
-from paperloom.functions.html_calls import extract_calls, links_of, title_of
-from paperloom.functions.textnorm import CALL_PATTERN, clean_url, is_research_title, year_in
+from paperloom.functions.html_calls import editions_of, extract_calls, links_of, panes_of, title_of
+from paperloom.functions.textnorm import CALL_PATTERN, clean_urls, is_research_title, year_in
 from paperloom.storage import cut
 
 from .relational import first_wins, primary_or_fallback
@@ -34,20 +34,46 @@ class Scope:
     canonical: dict[str, str] = field(default_factory=dict)
 
 
+def in_reach(href: Column, base: Column, scope: Scope) -> Column:
+    """The clean address of a link in a crawl's scope."""
+    return clean_urls(href, base, sorted(scope.hosts), sorted(scope.keep_slash), sorted(scope.queries))
+
+
 def parse_pages(pages: DataFrame, scope: Scope) -> DataFrame:
-    """url, title, sections, dates and links (target, text) of every page; one pass, no shuffle."""
-    kind = f"url STRING, title STRING, sections ARRAY<{schemas.SECTION}>, dates ARRAY<STRING>, links ARRAY<STRUCT<pos INT, target STRING, text STRING>>"
+    """url, title, sections, dates and links (pos, target, text) in scope of every page; one pass, no shuffle."""
+    kind = f"url STRING, title STRING, sections ARRAY<{schemas.SECTION}>, dates ARRAY<STRING>, links ARRAY<STRUCT<pos INT, href STRING, text STRING>>"
 
     def run(frames):
         for f in frames:
-            out = []
-            for url, html in zip(f["url"], f["html"], strict=True):
-                sections, dates = extract_calls(html)
-                links = [{"pos": x["pos"], "target": t, "text": x["text"]} for x in links_of(html) if (t := clean_url(x["href"], url, scope.hosts, scope.keep_slash, scope.queries))]
-                out.append((url, title_of(html), sections, dates, links))
+            out = [(url, title_of(html), *extract_calls(html), links_of(html)) for url, html in zip(f["url"], f["html"], strict=True)]
             yield pd.DataFrame(out, columns=["url", "title", "sections", "dates", "links"])
 
-    return pages.select("url", "html").mapInPandas(run, kind)
+    got = pages.select("url", "html").mapInPandas(run, kind)
+    target = F.transform("links", lambda x: F.struct(x["pos"].alias("pos"), in_reach(x["href"], F.col("url"), scope).alias("target"), x["text"].alias("text")))
+    return got.withColumn("links", F.filter(target, lambda x: x["target"].isNotNull()))
+
+
+def listed_editions(pages: DataFrame) -> DataFrame:
+    """(series, pos, edition, url) of the rows of series' index pages (series, html)."""
+    kind = "series STRING, editions ARRAY<STRUCT<pos INT, href STRING, label STRING>>"
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame([(s, editions_of(h)) for s, h in zip(f["series"], f["html"], strict=True)], columns=["series", "editions"])
+
+    rows = pages.select("series", "html").mapInPandas(run, kind).select("series", F.explode("editions").alias("e"))
+    return rows.select("series", "e.pos", F.col("e.label").alias("edition"), F.col("e.href").alias("url"))
+
+
+def panes(pages: DataFrame) -> DataFrame:
+    """(url, pos, pane_id, heading) of all panes with an id."""
+    kind = "url STRING, panes ARRAY<STRUCT<pos INT, pane_id STRING, heading STRING>>"
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame([(u, panes_of(h)) for u, h in zip(f["url"], f["html"], strict=True)], columns=["url", "panes"])
+
+    return pages.select("url", "html").mapInPandas(run, kind).select("url", F.inline("panes"))
 
 
 def path_parts(url: Column) -> Column:
@@ -58,23 +84,30 @@ def host_of(url: Column) -> Column:
     return F.lower(F.try_parse_url(url, F.lit("HOST")))
 
 
-def editions(listed: DataFrame, seeds: DataFrame | None, scope: Scope, years: Sequence[int] = ()) -> DataFrame:
-    """(series, edition, year, url, crawl_url, status) of listed (series, edition, url) and seeded rows."""
-
-    @F.pandas_udf("string")
-    def clean(href: pd.Series) -> pd.Series:
-        return href.map(lambda h: clean_url(h, scope.base, scope.hosts, scope.keep_slash, scope.queries))
+def editions(listed: DataFrame, seeds: DataFrame | None, scope: Scope, years: Sequence[int] = (), homes: DataFrame | None = None) -> DataFrame:
+    """(series, edition, year, url, crawl_url, status) of listed (series, edition, url) and seeded rows.
 
+    ``homes`` (series, year, url), as from :func:`verified_homes`, take the place of listed addresses.
+    """
     rows = listed if seeds is None else listed.unionByName(seeds)
     rows = rows.withColumn("year", year_in(F.col("edition"))).filter(F.col("year").isNotNull())
     rows = rows.filter(F.col("year").isin(list(years))) if years else rows
-    rows = rows.withColumn("crawl_url", clean(F.col("url")))
+    rows = rows.withColumn("crawl_url", in_reach(F.col("url"), F.lit(scope.base), scope))
+    if homes is not None:
+        said = homes.select(F.col("series").alias("s_"), F.col("year").alias("y_"), F.col("url").alias("home_"))
+        rows = rows.join(said, (F.col("series") == F.col("s_")) & (F.col("year") == F.col("y_")), "left").withColumn("crawl_url", F.coalesce("home_", "crawl_url")).drop("s_", "y_", "home_")
     parts = path_parts(F.col("crawl_url"))
     root = is_archive_root(F.col("crawl_url"), scope)
     fit = root | ((F.size(parts) >= 2) & F.get(parts, F.lit(0)).isin("home", "track"))
     return rows.withColumn("status", F.when(F.col("crawl_url").isNull(), "external_not_crawled").when(fit, "pending").otherwise("unsupported_url"))
 
 
+def verified_homes(candidates: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Of candidates (series, year, url) those whose page is there and is titled by series and year."""
+    met = candidates.join(parsed.select("url", "title"), "url")
+    return met.filter(F.regexp(F.col("title"), F.concat(F.lit("(?i)"), F.col("series"), F.lit(r"\s*"), F.col("year").cast("string")))).select("series", "year", "url")
+
+
 def is_archive_root(url: Column, scope: Scope) -> Column:
     return host_of(url).isin(*scope.archives) & (F.get(path_parts(url), F.lit(0)) == "") if scope.archives else F.lit(False)
 
@@ -183,6 +216,7 @@ def to_capture(calls: DataFrame, attempts: DataFrame, force: bool = False) -> Da
 def playback_failures(calls: DataFrame, responses: DataFrame) -> DataFrame:
     """(series, year) of calls whose snapshot doesn't play; from stored answers (snapshot_url, status, body), up to the first refusal."""
     got = calls.join(responses.withColumnRenamed("status", "http_"), "snapshot_url", "left")
-    stop = got.filter("http_ = 429").agg(F.min("seq").alias("stop_"))
+    stop = got.groupBy().agg(F.min(F.when(F.col("http_") == 429, F.col("seq"))).alias("stop_"))
     ok = F.col("snapshot_url").startswith("https://web.archive.org/web/") & (F.col("http_") == 200) & F.contains("body", host_of(F.col("url")))
-    return got.join(F.broadcast(stop)).filter(F.col("stop_").isNull() | (F.col("seq") <= F.col("stop_"))).filter(~F.coalesce(ok, F.lit(False))).select("series", "year")  # one row on the right
+    asked = got.join(F.broadcast(stop), F.col("stop_").isNull() | (F.col("seq") <= F.col("stop_")))  # one row on the right
+    return asked.filter(~F.coalesce(ok, F.lit(False))).select("series", "year")

@@ -58,7 +58,7 @@ def extracted(lines: DataFrame, links: DataFrame | None = None) -> DataFrame:
 
 
 def analyze_documents(docs: DataFrame, ids: Sequence[str] = SECTION_IDS) -> DataFrame:
-    """:data:`paperloom.schemas.ANALYSIS` for nested documents; a failure is that row's ``error``.
+    """:data:`paperloom.schemas.ANALYSIS` for nested documents; lines or links that lack a part are that row's ``error``.
 
     Each document is one row's work, so nothing is shuffled.
     """
@@ -77,9 +77,15 @@ def analyze_documents(docs: DataFrame, ids: Sequence[str] = SECTION_IDS) -> Data
                     for x in rows:
                         x["runs"] = [plain(r) for r in (x["runs"] if x.get("runs") is not None else [])]
                         x["boxes"] = list(x["boxes"]) if x.get("boxes") is not None else []
-                    row |= analyze(rows, [plain(x) | {"rect": None if x["rect"] is None else list(x["rect"])} for x in (links if links is not None else [])], chosen)
-                except (AttributeError, IndexError, KeyError, TypeError, ValueError) as e:
-                    row["error"] = f"{type(e).__name__}: {e}"
+                        if x["text"] is None or x["page"] is None:
+                            raise ValueError("a line has no text or page")
+                    notes = [plain(x) | {"rect": None if x["rect"] is None else list(x["rect"])} for x in (links if links is not None else [])]
+                    if any(x["url"] is None for x in notes):
+                        raise ValueError("a link has no address")
+                except ValueError as e:
+                    row["error"] = str(e)
+                else:
+                    row |= analyze(rows, notes, chosen)
                 out.append(row)
             yield pd.DataFrame(out, columns=["doc_id", "pages", "has_text", "statements", "dois", "repository_links", "error"])
 

@@ -159,14 +159,22 @@ def overlapping(left: DataFrame, right: DataFrame, on: Sequence[str], left_range
 
 
 def drop_prefixes(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Values that no longer value of the same key begins with.
+    """Values that no longer value of the same key begins with; null keys are one key, null values go.
 
     In sorted order a value that is a prefix of any longer one is a prefix of
-    the next distinct one, so one look ahead is enough.
+    the next distinct one. Distinct values are dealt by ranges of key and
+    value, so a key may hold any share of all rows; each range looks ahead by
+    itself, and its last value looks at the first of the next range.
     """
-    once = df.select(key, value).distinct()
-    after = F.lead(value).over(Window.partitionBy(key).orderBy(value))
-    return once.withColumn("next_", after).filter(F.col("next_").isNull() | ~F.startswith(F.col("next_"), F.col(value))).drop("next_")
+    once = df.select(key, value).filter(F.col(value).isNotNull()).distinct()
+    dealt = cut(once.repartitionByRange(key, value).withColumn("part_", F.spark_partition_id()), "ranges")
+    both = F.struct(key, value)
+    firsts = dealt.groupBy("part_").agg(F.min(both).alias("first_"))  # a row per range
+    next_first = firsts.select("part_", F.lead("first_").over(Window.orderBy("part_")).alias("beyond_"))
+    ahead = dealt.withColumn("next_", F.lead(both).over(Window.partitionBy("part_").orderBy(key, value)))
+    seen = ahead.join(F.broadcast(next_first), "part_").withColumn("next_", F.coalesce("next_", "beyond_"))
+    longer = F.col(f"next_.{key}").eqNullSafe(F.col(key)) & F.startswith(F.col(f"next_.{value}"), F.col(value))
+    return seen.filter(~F.coalesce(longer, F.lit(False))).select(key, value)
 
 
 def host_allowed(host: Column, hosts: Sequence[str]) -> Column:
@@ -206,6 +214,13 @@ def closure(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
 
 
 def primary_or_fallback(df: DataFrame, group: str, primary: Column, fallback: Column) -> DataFrame:
-    """Rows with the primary mark where the group has any, else those with the fallback mark."""
-    some = F.max(primary).over(Window.partitionBy(group))
-    return df.withColumn("some_", some).filter(F.when(F.col("some_"), primary).otherwise(fallback)).drop("some_")
+    """Rows with the primary mark where the group has any, else those with the fallback mark. A null group is none.
+
+    The groups that have a primary row are one flag each, combined before the
+    shuffle; only fallback rows are looked up among them, so no group's rows
+    need meet.
+    """
+    first = df.filter(primary)
+    have = first.select(F.col(group).alias("group_")).distinct()
+    second = df.filter(F.coalesce(fallback, F.lit(False)) & ~F.coalesce(primary, F.lit(False)))
+    return first.unionByName(second.join(have, F.col(group) == F.col("group_"), "left_anti"))

@@ -33,22 +33,44 @@ def counts_as_artifact(annotation: str = "annotation") -> Column:
     return F.coalesce(a["count_as_artifact"], F.lit(False)) & (F.coalesce(F.size(a["urls"]), F.lit(0)) > 0)
 
 
-def year_summary(rows: DataFrame) -> DataFrame:
-    """Eight counts and three lists of papers per conference and year; no year is ``unknown``."""
+def summary_rows(rows: DataFrame) -> DataFrame:
+    """One row per paper and list that it is on (papers, false_positives, annotations): conference, year, list, and the paper's fields.
+
+    This is the summary's detail at any size; :func:`year_summary` has it as lists.
+    """
     checked, stated = F.col("status") == "checked", F.coalesce(F.col("statements"), F.lit(0)) > 0
-    good, dois, links = checked & stated & ~F.col("wrong"), F.coalesce(F.col("dois"), F.lit(0)) > 0, F.coalesce(F.size("repository_links"), F.lit(0)) > 0
     paper = F.struct(natural_key("id").alias("sort_key"), "id", "file", "url", "sections", F.col("doi_ids").alias("dois"), "repository_links", "annotation")
-    some = F.coalesce(F.size("false_positive_sections"), F.lit(0)) > 0
     fewer = paper.withField("sections", F.col("false_positive_sections")).withField("dois", F.array().cast("array<string>"))
-    wrong = F.concat(F.when(checked & some, F.array(fewer)).otherwise(F.array().cast(rows.select(F.array(paper).alias("p")).schema["p"].dataType)), F.when(checked & stated & F.col("wrong"), F.array(paper)).otherwise(F.array().cast(rows.select(F.array(paper).alias("p")).schema["p"].dataType)))
-    noted = checked & F.col("annotation").isNotNull() & ~F.coalesce(F.col("annotation.type") == WRONG, F.lit(False))
-    listed = lambda c, x: F.sort_array(F.collect_list(F.when(c, x)))
-    return rows.groupBy("conference", F.coalesce("year", F.lit("unknown")).alias("year")).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(checked).alias("checked"), F.count_if(good).alias("with_statement"), F.count_if(good & dois).alias("with_statement_and_doi"),
-        F.count_if(good & (dois | links | counts_as_artifact())).alias("with_replication_package"), F.count_if(checked & ~good).alias("without_statement"),
-        F.count_if(F.col("status") == "no_text").alias("no_text"), F.count_if(~F.coalesce(F.col("status").isin("checked", "no_text"), F.lit(False))).alias("errors"),
-        listed(good, paper).alias("papers"), F.sort_array(F.flatten(F.collect_list(wrong))).alias("false_positives"), listed(noted, paper).alias("annotations"),
+    on = lambda name, when, what: F.when(when, F.struct(F.lit(name).alias("list"), what.alias("paper")))
+    noted = F.col("annotation").isNotNull() & ~F.coalesce(F.col("annotation.type") == WRONG, F.lit(False))
+    lists = F.array(
+        on("papers", checked & stated & ~F.col("wrong"), paper), on("false_positives", checked & (F.coalesce(F.size("false_positive_sections"), F.lit(0)) > 0), fewer),
+        on("false_positives", checked & stated & F.col("wrong"), paper), on("annotations", checked & noted, paper),
     )
+    each = rows.select("conference", F.coalesce("year", F.lit("unknown")).alias("year"), F.explode(F.filter(lists, lambda x: x.isNotNull())).alias("x"))
+    return each.select("conference", "year", "x.list", "x.paper.*")
+
+
+def year_counts(rows: DataFrame) -> DataFrame:
+    """Eight counts per conference and year; no year is ``unknown``. Combined before the shuffle."""
+    checked, stated = F.col("status") == "checked", F.coalesce(F.col("statements"), F.lit(0)) > 0
+    good, dois, links = checked & stated & ~F.col("wrong"), F.coalesce(F.col("dois"), F.lit(0)) > 0, F.coalesce(F.size("repository_links"), F.lit(0)) > 0
+    known = F.coalesce(F.col("status").isin("checked", "no_text"), F.lit(False))
+    count = {
+        "total": F.lit(True), "checked": checked, "with_statement": good, "with_statement_and_doi": good & dois, "with_replication_package": good & (dois | links | counts_as_artifact()),
+        "without_statement": checked & ~good, "no_text": F.col("status") == "no_text", "errors": ~known,
+    }
+    return rows.groupBy("conference", F.coalesce("year", F.lit("unknown")).alias("year")).agg(*[F.count_if(c).alias(n) for n, c in count.items()])
+
+
+def year_summary(rows: DataFrame) -> DataFrame:
+    """:func:`year_counts` with the lists of :func:`summary_rows`, in natural order of the papers' ids: one row per conference and year by its form."""
+    detail = summary_rows(rows)
+    fields = [c for c in detail.columns if c not in ("conference", "year", "list")]
+    of = lambda name: F.sort_array(F.collect_list(F.when(F.col("list") == name, F.struct(*fields)))).alias(name)
+    lists = detail.groupBy("conference", "year").agg(of("papers"), of("false_positives"), of("annotations"))
+    got = year_counts(rows).join(lists, ["conference", "year"], "left")
+    return got.withColumns({n: F.coalesce(n, F.array().cast(got.schema[n].dataType)) for n in ("papers", "false_positives", "annotations")})
 
 
 def public_envelope(summary: DataFrame, conference: str, detector: str) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from paperloom.functions.textnorm import archive_url, source_url, track_name
+from paperloom.functions.textnorm import archive_url, safe_url, source_url, track_name
 
 from . import relational as R
 from .summary import EVIDENCE, UNSUPPORTED, counts_as_artifact
@@ -63,10 +63,13 @@ def displayed_papers(papers: DataFrame, annotations: DataFrame, metric: str = "d
     """Papers that a metric counts with their annotation, and papers that only an annotation names.
 
     ``papers`` (file, id, sections, dois, repository_links), ``annotations``
-    (file, id, annotation); the first row of a file counts.
+    (file, id, annotation, and seq where their order matters); of a file the
+    row of least ``seq``, else of least id, counts.
     """
     usable = annotations.filter(F.col("annotation").isNotNull() & ~F.coalesce(F.col("annotation.type") == UNSUPPORTED, F.lit(False)))
-    notes = usable.groupBy("file").agg(F.first("annotation").alias("annotation"), F.first("id").alias("note_id"))
+    order = "seq" if "seq" in annotations.columns else "id"
+    first = usable.groupBy("file").agg(F.min_by(F.struct("annotation", "id"), order).alias("a_"))
+    notes = first.select("file", F.col("a_.annotation").alias("annotation"), F.col("a_.id").alias("note_id"))
     own = papers.drop("annotation").join(notes, "file", "left").filter(metric_filter(metric)).drop("note_id")
     if metric == "data" and nonstandard:
         more = notes.join(own.select("file"), "file", "left_anti").select("file", F.col("note_id").alias("id"), "annotation")
@@ -77,9 +80,9 @@ def displayed_papers(papers: DataFrame, annotations: DataFrame, metric: str = "d
 def section_types(papers: DataFrame) -> DataFrame:
     """(summary, nonstandard): section labels by frequency, and how many papers an annotation lists."""
     some = papers.select(F.explode("sections").alias("s")).select(F.lit(0).alias("one_"), F.col("s.label").alias("label"))
-    text = R.label_summary(some, ["one_"], "label").select("summary")
-    extra = papers.agg(F.count_if(F.col("annotation").isNotNull()).alias("nonstandard"))
-    return extra.join(text, F.lit(True), "left").select(F.coalesce("summary", F.lit("none")).alias("summary"), "nonstandard")
+    text = R.label_summary(some, ["one_"], "label")
+    extra = papers.groupBy(F.lit(0).alias("one_")).agg(F.count_if(F.col("annotation").isNotNull()).alias("nonstandard"))
+    return extra.join(text, "one_", "left").select(F.coalesce("summary", F.lit("none")).alias("summary"), "nonstandard")
 
 
 def chart(summary: DataFrame, conferences: Sequence[str] = (), since: int = 2018) -> DataFrame:
@@ -120,5 +123,32 @@ def without_authors(authors: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.distinct().join(authors.select(F.concat_ws("/", F.col("year").cast("string"), "id").alias("key")), "key", "left_anti")
 
 
+def cards(calls: DataFrame) -> DataFrame:
+    """What a card of each found call shows: series, year, edition, track, heading, preview, dates, and addresses that are safe to follow."""
+    safe = lambda c: safe_url(F.col(c)).alias(c.rstrip("_") + "_url")
+    return calls.select("series", "year", "edition", F.col("track_").alias("track"), "title", "heading", R.preview("text").alias("preview"), "important_dates", safe("source_"), safe("archive_"))
+
+
+def drill_down(papers: DataFrame, annotations: DataFrame, conference: str, year: str, metric: str = "data", nonstandard: bool = True) -> DataFrame:
+    """The displayed papers (:func:`displayed_papers`) of one conference and year, one row per paper, with address and number of sections."""
+    of = lambda df: df.filter((F.col("conference") == conference) & (F.col("year") == year))
+    got = displayed_papers(of(papers), of(annotations), metric, nonstandard)
+    return got.select("file", "id", F.coalesce(F.size("sections"), F.lit(0)).alias("n_sections"), "dois", "repository_links", "annotation")
+
+
+def all_summaries(*summaries: DataFrame) -> DataFrame:
+    """The summaries of several conferences as one; columns that one lacks are null there."""
+    first, *more = summaries
+    for s in more:
+        first = first.unionByName(s, allowMissingColumns=True)
+    return first
+
+
+def with_totals(df: DataFrame, name: str, **totals: Column) -> tuple[DataFrame, Observation]:
+    """``df`` and an observation of totals over it (``rows`` always), known once any action has run: no pass of its own."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in totals.items()]), seen
+
+
 def coverage(calls: DataFrame) -> DataFrame:
     return calls.groupBy("series").agg(F.count(F.lit(1)).alias("records"), F.min("year").alias("first"), F.max("year").alias("last"), F.count_if(F.coalesce("snapshot_url", F.lit("")) != "").alias("snapshots"))

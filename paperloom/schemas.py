@@ -23,3 +23,9 @@ ANNOTATION = "STRUCT<type STRING, count_as_artifact BOOLEAN, artifact_type STRIN
 AUTHORS = "year INT, id STRING, authors ARRAY<STRING>"
 DOI_CHECK = "url STRING, status INT, ok BOOLEAN, final_url STRING, redirected BOOLEAN, error STRING"
 REGISTRY = "STRUCT<titles ARRAY<STRUCT<title STRING>>, creators ARRAY<STRUCT<name STRING>>, publisher STRING, publicationYear INT, version STRING, types MAP<STRING, STRING>, url STRING, rightsList ARRAY<STRUCT<rights STRING>>, descriptions ARRAY<STRUCT<description STRING>>>"
+
+_SECTION_ROW = "STRUCT<id STRING, label STRING, heading STRING, page INT, body STRING>"
+PAPER = f"STRUCT<sort_key STRING, id STRING, file STRING, url STRING, sections ARRAY<{_SECTION_ROW}>, dois ARRAY<STRING>, repository_links ARRAY<{ARTIFACT}>, annotation {ANNOTATION}>"
+YEAR = f"STRUCT<total BIGINT, checked BIGINT, with_statement BIGINT, with_statement_and_doi BIGINT, with_replication_package BIGINT, without_statement BIGINT, no_text BIGINT, errors BIGINT, papers ARRAY<{PAPER}>, false_positives ARRAY<{PAPER}>, annotations ARRAY<{PAPER}>>"
+RESPONSES = "snapshot_url STRING, status INT, body STRING"
+ROBOTS = "host STRING, status INT, body STRING"

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom import schemas
+from paperloom.functions.html_calls import title_of
 from paperloom.operators.summary import annotation_rows
+from paperloom.storage import cut
 
-#: Documents above this size aren't read.
+# The largest document in bytes, least seconds between requests to a host, hops and tries for an address, seconds to wait for a busy server after each try.
 MOST_BYTES = 100 * 1024 * 1024
+LEAST_DELAY, MOST_HOPS, MOST_TRIES, BACK_OFF = 2.0, 10, 3, 5.0
 CALL_FIELDS = ("series", "edition", "year", "url", "call_url", "snapshot_url", "title", "heading", "text", "important_dates")
 
 
@@ -83,15 +87,33 @@ def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def read_table_if_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table that may be absent."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
 def write_report(path: str, calls: DataFrame, editions: DataFrame, errors: DataFrame, series: Sequence[str], years: Sequence[int] | None, started_at: str) -> None:
-    """The crawl's report as one JSON document; the committer makes it appear at once."""
-    rows = lambda df, cols, name: df.agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
+    """``path``/calls, editions and errors as JSON lines, a row each, and ``path``/report, the same as one JSON document.
+
+    The tables are the output that grows; the document is one row by its form,
+    for readers that want it, and the committer makes it appear at once.
+    """
     order = ["seq", *CALL_FIELDS] if "seq" in calls.columns else list(CALL_FIELDS)
-    doc = rows(calls, order, "calls").join(rows(editions, editions.columns, "editions")).join(rows(errors, errors.columns, "errors"))  # one row each
+    tables = {"calls": (calls.select(*order), order), "editions": (editions, editions.columns), "errors": (errors, errors.columns)}
+    one = F.lit(0).alias("one_")
+    doc = None
+    for name, (frame, columns) in tables.items():
+        frame.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/{name}")
+        row = frame.groupBy(one).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+        base = frame.sparkSession.range(1).select(F.lit(0).alias("one_")) if doc is None else doc
+        empty = F.array().cast(row.schema[name].dataType)
+        doc = base.join(row, "one_", "left").withColumn(name, F.coalesce(name, empty))
     fields = F.transform("calls", lambda c: F.struct(*[c[f].alias(f) for f in CALL_FIELDS]))
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
     wanted = F.lit(None).cast("array<int>") if years is None else F.array(*[F.lit(y) for y in years]).cast("array<int>")
-    doc.select(F.lit(started_at).alias("started_at"), now.alias("updated_at"), F.array(*[F.lit(s) for s in series]).alias("series"), wanted.alias("years"), "editions", fields.alias("calls"), "errors").coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    doc.select(F.lit(started_at).alias("started_at"), now.alias("updated_at"), F.array(*[F.lit(s) for s in series]).alias("series"), wanted.alias("years"), "editions", fields.alias("calls"), "errors").coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/report")
 
 
 def write_calls_csv(path: str, calls: DataFrame) -> None:
@@ -108,6 +130,123 @@ def write_json_lines(path: str, frame: DataFrame) -> None:
     frame.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_pages_cache(path: str, pages: DataFrame) -> None:
+    """Append fetched pages (url, html) to the page cache, under the digest of their address."""
+    fetched = pages.filter(F.col("html").isNotNull())
+    fetched.select(F.concat(F.sha2("url", 256), F.lit(".html")).alias("cache_key"), "html").dropDuplicates(["cache_key"]).write.mode("append").parquet(path)
+
+
+def write_extraction_cache(path: str, files: DataFrame, extracted: DataFrame) -> None:
+    """Append extracted documents (file and any columns) with the path, length and modificationTime of their file, by which :func:`to_extract` knows them."""
+    files.select("file", "path", "length", "modificationTime").join(extracted, "file").write.mode("append").parquet(path)
+
+
+def read_summaries(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(conference, year, summary) of public documents, as one table; a missing document gives no rows."""
+    kind = f"conference STRING, generated_at STRING, detector STRING, years MAP<STRING, {schemas.YEAR}>"
+    some = [read_optional(spark, p, kind) for p in paths]
+    whole = some[0]
+    for s in some[1:]:
+        whole = whole.unionByName(s)
+    return whole.select("conference", F.explode("years").alias("year", "s")).select("conference", "year", "s.*")
+
+
+def robots_rules(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((host, pattern), (host, delay)) for all agents, from stored robots.txt answers (host, status, body); none where there is no file."""
+    lines = answers.filter(F.col("status") == 200).select("host", F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("pos", "line"))
+    key, value = F.lower(F.substring_index("line", ":", 1)), F.trim(F.regexp_extract("line", r"^[^:]*:(.*)\z", 1))
+    told = lines.select("host", "pos", key.alias("key"), value.alias("value"))
+    agent = F.last(F.when(F.col("key") == "user-agent", F.col("value")), ignorenulls=True).over(Window.partitionBy("host").orderBy("pos"))
+    ours = told.withColumn("agent", agent).filter("agent = '*'")
+    rules = ours.filter("key = 'disallow' and value <> ''").select("host", F.col("value").alias("pattern")).distinct()
+    delays = ours.filter("key = 'crawl-delay'").groupBy("host").agg(F.greatest(F.lit(LEAST_DELAY), F.max_by(F.col("value").try_cast("double"), "pos")).alias("delay"))
+    return rules, delays
+
+
+def fetch_pages(urls: DataFrame, fetch: Callable[[str], dict], scope, *, rules: DataFrame | None = None, delays: DataFrame | None = None, cache: DataFrame | None = None, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(url, final_url, html, error): one row per distinct address of ``urls`` (url).
+
+    ``fetch(url)`` returns status, type, location and body; it is the
+    caller's, so nothing here reaches a network. Redirects are followed a hop
+    a round, all addresses together: at most MOST_HOPS pages are asked for one
+    address, none twice, and every target has to be in the crawl's scope.
+    Cached pages are taken from ``cache`` (cache_key, html); addresses that a
+    rule (host, pattern) forbids aren't asked. Of one host one task asks, with
+    its delay (host, delay) between two requests; a busy server is asked
+    MOST_TRIES times. Each round is written, so a lost task asks again for its
+    own addresses only.
+    """
+    from paperloom.operators.crawl import disallowed, host_of, in_reach
+
+    kind = "url STRING, at STRING, hops ARRAY<STRING>, status INT, html STRING, location STRING, error STRING"
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: dict[str, float] = {}
+        for f in frames:
+            out = []
+            for url, at, hops, host, delay in zip(f["url"], f["at"], f["hops"], f["host"], f["delay"], strict=True):
+                row = {"url": url, "at": at, "hops": list(hops), "status": None, "html": None, "location": None, "error": None}
+                for tried in range(MOST_TRIES):
+                    if host in last:
+                        sleep(max(0.0, delay - (time.monotonic() - last[host])))
+                    last[host] = time.monotonic()
+                    try:
+                        r = fetch(at)
+                    except Exception as e:  # noqa: BLE001  (whatever the caller's function raises)
+                        row["error"] = str(e) or type(e).__name__
+                        break
+                    row["status"] = status = r["status"]
+                    if status == 429 or status >= 500:
+                        sleep(BACK_OFF * (tried + 1))
+                        row["error"] = f"HTTP {status} after retries"
+                        continue
+                    row["error"] = None
+                    if 300 <= status < 400 and r.get("location"):
+                        row["location"] = r["location"]
+                    elif status >= 400:
+                        row["error"] = f"HTTP {status}"
+                    elif "html" not in (r.get("type") or ""):
+                        row["error"] = "not HTML"
+                    elif "not found" in title_of(r["body"]).lower():
+                        row["error"] = "page not found"
+                    else:
+                        row["html"] = r["body"]
+                    break
+                out.append(row)
+            got = pd.DataFrame(out, columns=["url", "at", "hops", "status", "html", "location", "error"])
+            got["status"] = got["status"].astype("Int32")
+            yield got
+
+    final = ["url", "final_url", "html", "error"]
+    todo = urls.select("url").distinct().select("url", F.col("url").alias("at"), F.array("url").alias("hops"))
+    done: list[DataFrame] = []
+    for _ in range(MOST_HOPS):
+        if rules is not None:
+            no = cut(disallowed(todo.select("at").distinct().withColumnRenamed("at", "url"), rules).select(F.col("url").alias("at")), "forbidden")
+            done.append(todo.join(no, "at", "left_semi").select("url", F.col("at").alias("final_url"), F.lit(None).cast("string").alias("html"), F.lit("robots.txt disallows the address").alias("error")))
+            todo = todo.join(no, "at", "left_anti")
+        if cache is not None:
+            had = cached_pages(todo.withColumnsRenamed({"url": "first_", "at": "url"}), cache).withColumnsRenamed({"url": "at", "first_": "url"})
+            had = cut(had.select("url", "at", "hops", "html"), "cached")
+            done.append(had.filter("html is not null").select("url", F.col("at").alias("final_url"), "html", F.lit(None).cast("string").alias("error")))
+            todo = had.filter("html is null").drop("html")
+        hosted = todo.withColumn("host", host_of(F.col("at")))
+        paced = hosted.join(delays, "host", "left") if delays is not None else hosted.withColumn("delay", F.lit(None).cast("double"))
+        dealt = paced.select("url", "at", "hops", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("delay", F.lit(LEAST_DELAY)).alias("delay")).repartition("host").sortWithinPartitions("host", "at")
+        got = cut(dealt.mapInPandas(ask, kind), "fetched")
+        target = got.filter("location is not null").withColumn("to", in_reach(F.col("location"), F.col("at"), scope))
+        fault = F.when(F.col("to").isNull() | (F.col("to") == F.col("at")), F.concat(F.lit("external or cyclic redirect: "), F.col("location"))).when(F.array_contains("hops", F.col("to")) | (F.size("hops") >= MOST_HOPS), "redirect loop or limit exceeded")
+        done.append(got.filter("location is null").select("url", F.col("at").alias("final_url"), "html", "error"))
+        done.append(target.withColumn("error", fault).filter("error is not null").select("url", F.col("at").alias("final_url"), "html", "error"))
+        todo = target.filter(fault.isNull()).select("url", F.col("to").alias("at"), F.concat("hops", F.array("to")).alias("hops"))
+        if todo.isEmpty():
+            break
+    whole = done[0].select(*final)
+    for d in done[1:]:
+        whole = whole.unionByName(d.select(*final))
+    return cut(whole, "pages")
+
+
 def check_dois(dois: DataFrame, fetch: Callable[[str], dict], most: int = 30) -> DataFrame:
     """HTTP state of the first ``most`` identifiers of each document (doc_id, pos, url).
 

@@ -16,12 +16,15 @@ _OWN: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (single-machine tests) is a
-    temporary folder used instead; it goes when the process ends.
+    Only on a single machine (a local master) may the session leave it unset:
+    a temporary folder is used then, and goes when the process ends. On a
+    cluster executors wouldn't see it, so that is an error.
     """
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="paperloom-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)

@@ -15,21 +15,26 @@ def page_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
     return spark.readStream.schema(schemas.PAGES).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
-def ingest_pages(stream: DataFrame, target: str, checkpoint: str, scope: Scope, once: bool = True) -> StreamingQuery:
-    """Parse each batch and append pages whose address the table hasn't got.
+def ingest_pages(stream: DataFrame, target: str, checkpoint: str, scope: Scope, once: bool = True, buckets: int = 64) -> StreamingQuery:
+    """Parse each batch and append pages whose address the table hasn't got; of one address in a batch the least html counts.
 
-    The batch number is part of the table's path, and a batch that is run
-    again overwrites its own part, so a restart adds nothing twice.
+    The table is partitioned by bucket of the address, then by batch. A batch
+    looks only into the buckets that it has addresses of, and there reads
+    addresses only; a batch that is run again overwrites its own part, so a
+    restart adds nothing twice.
     """
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        parsed = parse_pages(batch.dropDuplicates(["url"]), scope)
+        once = batch.groupBy("url").agg(F.min("html").alias("html"))
+        dealt = once.withColumn("bucket", F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int"))
         root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
         if root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
-            old = spark.read.parquet(target).filter(F.col("batch") < number).select("url")
-            parsed = parsed.join(old, "url", "left_anti")
-        parsed.write.mode("overwrite").parquet(f"{target}/batch={number}")
+            own = [r["bucket"] for r in dealt.select("bucket").distinct().collect()]  # at most ``buckets``
+            old = spark.read.parquet(target).filter(F.col("bucket").isin(own) & (F.col("batch") < number)).select("bucket", "url")
+            dealt = dealt.join(old, ["bucket", "url"], "left_anti")
+        parsed = parse_pages(dealt, scope).withColumns({"bucket": F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int"), "batch": F.lit(number)})
+        parsed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(target)
 
     writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -187,8 +187,10 @@ def test_calls(spark, tmp_path):
     back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "csv"))
     assert back.columns == list(sources.CALL_FIELDS) and back.filter("series = 'w'").first().text == 'say "DOI",\nplease' and back.first().important_dates == "d1\nd2"
     none = spark.createDataFrame([], schemas.EDITIONS), spark.createDataFrame([], schemas.ERRORS)
-    sources.write_report(str(tmp_path / "report"), calls, *none, ["x"], None, "t0")
-    assert sources.read_calls(spark, str(tmp_path / "report")).count() == 4
+    sources.write_report(str(tmp_path / "rep"), calls, *none, ["x"], None, "t0")
+    assert sources.read_calls(spark, str(tmp_path / "rep/report")).count() == 4 and spark.read.json(str(tmp_path / "rep/calls")).count() == 4
+    assert json.loads(next((tmp_path / "rep/report").glob("part-*")).read_text())["errors"] == []
+    assert {(r.series, r.preview, r.source_url) for r in V.cards(view.filter("year = 2023")).collect()} == {("x", "none", "https://a/x2023")}
     with pytest.raises(Exception, match="no text"):
         (tmp_path / "bad.json").write_text(json.dumps({"calls": [{"series": "x"}]}))
         sources.read_calls(spark, str(tmp_path / "bad.json")).collect()
@@ -217,6 +219,127 @@ def test_files(spark, tmp_path):
     assert {tuple(r)[1:] for r in sources.cached_pages(spark.createDataFrame([("u",), ("v",)], "url string"), cache).select("cache_key", "url", "html").collect()} == {("u", "<p>"), ("v", None)}
 
 
+def test_clean_urls(spark):
+    """As an ordinary URL library resolves, over many forms of links."""
+    from urllib.parse import urljoin, urlsplit
+
+    hosts, slash, queries = ["a.example", "b.example"], ["b.example"], [("b.example", "/", "p=calls")]
+    bases = ["https://a.example/", "https://a.example", "https://a.example/t/u/v.html?x=1#y", "http://b.example/t/u/"]
+    hrefs = [None, "", "#top", "/t/x/#top", "https://c.example/t", "/in?next=1", "mailto:x@a.example", "/u@v", "http://b.example/t/", "https://b.example/?p=calls#x", "https://b.example/?p=no", "//b.example/q/",
+             "../up", "./here/", "a/../../b", "..", ".", "a//b", "?q", "x y", "HTTPS://A.Example/Z", "https://a.example:443/p", "javascript:go()", "t;p/..", "../../../../far/", "/a/./b/../c", "https://user@a.example/p", " /pad "]
+
+    def want(href, base):
+        u = urlsplit(urljoin(base, href or ""))
+        listed = (u.hostname, u.path, u.query) in queries
+        if u.scheme not in ("http", "https") or u.hostname not in hosts or "@" in u.path or (u.query and not listed):
+            return None
+        return f"https://{u.netloc}{u.path if u.hostname in slash else u.path.rstrip('/')}" + (f"?{u.query}" if listed else "")
+
+    df = spark.createDataFrame([(h, b) for h in hrefs for b in bases], "h string, b string")
+    got = df.select("h", "b", T.clean_urls(F.col("h"), F.col("b"), hosts, slash, queries).alias("u")).collect()
+    assert [(r.h, r.b, r.u) for r in got] == [(r.h, r.b, want((r.h or "").strip(), r.b)) for r in got]
+
+
+def test_fetch(spark, tmp_path):
+    """Redirects, refusals, retries, robots and cache, with a fetcher of its own."""
+    from paperloom import jobs
+
+    page = lambda t: f"<title>{t}</title><p>x"
+
+    def fetch(url):
+        path = url.split("example", 1)[1]
+        if path == "/down":
+            raise OSError("no route")
+        if path.startswith("/r"):
+            n = int(path[2:])
+            return {"status": 302, "type": "", "location": f"/r{n + 1}" if n < 20 else "/ok", "body": ""}
+        go = {"/go": "ok/", "/self": "/self", "/away": "https://far.example/x", "/loop": "/pool", "/pool": "/loop", "/sly": "/secret/2"}
+        if path in go:
+            return {"status": 301, "type": "", "location": go[path], "body": ""}
+        return {"/busy": {"status": 503, "type": "", "body": ""}, "/gone": {"status": 404, "type": "text/html", "body": ""}, "/pdf": {"status": 200, "type": "application/pdf", "body": ""}, "/soft": {"status": 200, "type": "text/html", "body": page("Page Not Found")}}.get(path, {"status": 200, "type": "text/html; x", "body": page(path)})
+
+    robots = spark.createDataFrame([("meet.example", 200, "User-agent: other\nDisallow: /\n\nUser-Agent: *\nDisallow: /*ecret\nDisallow:\nCrawl-delay: 7\r\n"), ("old.example", 404, "User-agent: *\nDisallow: /")], schemas.ROBOTS)
+    rules, delays = sources.robots_rules(robots)
+    assert rows(rules) == [("meet.example", "/*ecret")] and rows(delays) == [("meet.example", 7.0)]
+    names = ["ok", "go", "self", "away", "loop", "busy", "gone", "pdf", "soft", "down", "secret/1", "sly", "r0", "had"]
+    urls = spark.createDataFrame([(f"https://meet.example/{n}",) for n in [*names, "ok"]], "url string")
+    cache = spark.createDataFrame([("https://meet.example/had", "<p>old")], "url string, html string")
+    sources.write_pages_cache(str(tmp_path / "cache"), cache)
+    known = spark.read.parquet(str(tmp_path / "cache"))
+    got = {r.url.rsplit("example/", 1)[1]: r for r in sources.fetch_pages(urls, fetch, SCOPE, rules=rules, delays=delays.limit(0), cache=known, sleep=lambda s: None).collect()}
+    assert set(got) == set(names)
+    assert {k: r.html for k, r in got.items() if r.html} == {"ok": page("/ok"), "go": page("/ok"), "had": "<p>old"} and got["go"].final_url.endswith("/ok")
+    assert {k: r.error for k, r in got.items() if r.error} == {
+        "self": "external or cyclic redirect: /self", "away": "external or cyclic redirect: https://far.example/x", "loop": "redirect loop or limit exceeded", "busy": "HTTP 503 after retries", "gone": "HTTP 404", "pdf": "not HTML",
+        "soft": "page not found", "down": "no route", "secret/1": "robots.txt disallows the address", "sly": "robots.txt disallows the address", "r0": "redirect loop or limit exceeded",
+    }
+    some = urls.filter("url like '%/had'").unionByName(spark.createDataFrame([("https://old.example/new",)], "url string"))
+    for _ in range(2):
+        assert jobs.fetch_job(spark, some, fetch, SCOPE, str(tmp_path / "cache")).filter("html is not null").count() == 2
+    assert spark.read.parquet(str(tmp_path / "cache")).count() == 2
+
+
+def test_series_pages(spark):
+    html = '<table><tr class="edition-row x"><td><h3><a href="/home/m-2025">M <b>2025</b></a></h3></td></tr></table><a class="edition-row" href="/home/m-2024"><h3>M 2024</h3></a><div class="edition-row" href="/z"></div>'
+    frame = spark.createDataFrame([("m", html), ("n", None)], "series string, html string")
+    assert [(r.pos, r.edition, r.url) for r in C.listed_editions(frame).orderBy("pos").collect()] == [(0, "M 2025", "/home/m-2025"), (1, "M 2024", "/home/m-2024"), (2, "/z", "/z")]
+    listed = spark.createDataFrame([("m", "M 2025", "https://far.example/m")], "series string, edition string, url string")
+    parsed = spark.createDataFrame([("https://meet.example/home/m-2025", "The M2025 meeting"), ("https://meet.example/home/m-2024", "Other")], "url string, title string")
+    homes = spark.createDataFrame([("m", 2025, "https://meet.example/home/m-2025"), ("m", 2024, "https://meet.example/home/m-2024")], "series string, year int, url string")
+    found = C.verified_homes(homes, parsed)
+    assert found.count() == 1 and [(r.status, r.crawl_url) for r in C.editions(listed, None, SCOPE, homes=found).collect()] == [("pending", "https://meet.example/home/m-2025")]
+    assert C.editions(listed, None, SCOPE).first().status == "external_not_crawled"
+
+
+def test_archive_view_and_author_jobs(spark, tmp_path):
+    from paperloom.__main__ import main
+
+    call = lambda s, y, **k: {"series": s, "edition": f"{s} {y}", "year": y, "url": f"https://meet.example/{s}{y}", "call_url": f"https://meet.example/{s}{y}", "snapshot_url": "", "title": "T", "heading": "Call for Papers", "text": "We ask for data availability.", "important_dates": []} | k
+    (tmp_path / "calls.json").write_text(json.dumps({"calls": [call("m", 2024), call("m", 2023, snapshot_url="https://web.archive.org/web/1/y"), call("w", 2024)]}))
+    (tmp_path / "a-log.json").write_text(json.dumps([{"url": "https://meet.example/m2024", "snapshot_url": "https://web.archive.org/web/2/x"}]))
+    (tmp_path / "scope.json").write_text(json.dumps({"base": "https://meet.example", "hosts": ["meet.example"]}))
+    spark.createDataFrame([("https://meet.example/w2024", '<div class="tab-pane" id="Call-for-x"><h2>n</h2></div>')], "url string, html string").write.parquet(str(tmp_path / "pages"))
+    at = lambda *names: [str(tmp_path / n) for n in names]
+    main(["archive", *at("calls.json", "*-log.json", "scope.json", "arch"), "--pages", *at("pages")])
+    assert [r.url for r in spark.read.json(*at("arch/to_capture")).collect()] == ["https://meet.example/w2024"]
+    synced = {(r.series, r.year): (r.call_url.rsplit("/", 1)[1], r.snapshot_url[-3:]) for r in sources.read_calls(spark, *at("arch/report")).collect()}
+    assert synced == {("m", 2024): ("m2024", "2/x"), ("m", 2023): ("m2023", "1/y"), ("w", 2024): ("w2024#Call-for-x", "")}
+    (tmp_path / "answers.json").write_text("\n".join(json.dumps({"snapshot_url": f"https://web.archive.org/web/{n}", "status": s, "body": "meet.example"}) for n, s in (("2/x", 200), ("1/y", 500))))
+    main(["verify", *at("arch/report", "answers.json", "fail")])
+    assert {(r.series, r.year) for r in spark.read.json(*at("fail/failures")).collect()} == {("m", 2023), ("w", 2024)}
+    paper = {"sort_key": "k", "id": "1", "file": "2024/1.pdf", "url": None, "sections": [{"id": "a", "label": "A", "heading": "h", "page": 1, "body": "b"}], "dois": ["10.1/x"], "repository_links": [], "annotation": None}
+    (tmp_path / "fse.json").write_text(json.dumps({"conference": "fse", "generated_at": "t", "detector": "d", "years": {"2024": {"total": 2, "checked": 2, "with_statement": 1, "with_statement_and_doi": 1, "with_replication_package": 1, "without_statement": 1, "no_text": 0, "errors": 0, "papers": [paper], "false_positives": [], "annotations": []}}}))
+    main(["view", *at("calls.json", "view"), "--summaries", *at("fse.json", "none.json"), "--main-series", "m", "--since", "w=2025"])
+    assert spark.read.json(*at("view/cards")).count() == 3 and {(r.series, r["2024"], r["2023"]) for r in spark.read.json(*at("view/matrix_data")).collect()} == {("m", "✓", "✓"), ("w", "-", "—")}
+    assert {(r.measure, r.value) for r in spark.read.json(*at("view/chart")).collect()} == {("Accepted", 2), ("With DAS", 1), ("With DOI", 1), ("With Artifact", 1)} and spark.read.json(*at("view/papers")).count() == 1
+    (tmp_path / "authors.json").write_text(json.dumps({"papers": [{"year": 2024, "id": "1", "authors": ["Al", "Bo"]}, {"year": 2024, "id": "2", "authors": ["Al"]}]}))
+    (tmp_path / "notes.json").write_text(json.dumps({"2024/3.pdf": {"type": "artifact-url-outside-allowed-heading", "urls": []}}))
+    main(["authors", *at("authors.json", "fse.json", "notes.json", "rep")])
+    assert {tuple(r) for r in spark.read.json(*at("rep/authors")).select("name", "papers", "available").collect()} == {("Al", 2, 1), ("Bo", 1, 1)}
+    assert [r.key for r in spark.read.json(*at("rep/without_authors")).collect()] == ["2024/3"]
+
+
+def test_totals_summaries_and_caches(spark, tmp_path):
+    df, seen = V.with_totals(spark.range(5), "t", odd=F.count_if(F.col("id") % 2 == 1))
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 5, "odd": 2}
+    a, b = spark.createDataFrame([("x", 1)], "conference string, n int"), spark.createDataFrame([("y", "z")], "conference string, m string")
+    assert {tuple(r) for r in V.all_summaries(a, b, a).collect()} == {("x", 1, None), ("y", None, "z")} and V.all_summaries(a, b, a).count() == 3
+    files = spark.createDataFrame([("f", "/f", 3, 1), ("g", "/g", 4, 1)], "file string, path string, length long, modificationTime long")
+    sources.write_extraction_cache(str(tmp_path / "ex"), files.limit(1), spark.createDataFrame([("f", 9)], "file string, pages int"))
+    assert [r.file for r in sources.to_extract(files, spark.read.parquet(str(tmp_path / "ex"))).collect()] == ["g"]
+
+
+def test_shared_folder_needs_a_setting_on_clusters():
+    from types import SimpleNamespace
+
+    from paperloom import storage
+
+    told = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="spark://h:1", getConf=lambda: {}))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_folder(told)
+
+
 def test_stream(spark, tmp_path, pages):
     pages.coalesce(1).write.json(str(tmp_path / "in"))
     for _ in range(2):
@@ -256,5 +379,10 @@ def test_relational_edges(spark):
     assert one(spark, lambda a: R.natural_key("c0"), "a10b2") < one(spark, lambda a: R.natural_key("c0"), "a10b10")
     tie = spark.createDataFrame([("g", 1, 0), ("g", 2, 5), ("g", 3, 10), ("h", 4, 0)], "g string, k int, t int")
     assert set(rows(R.nearest_other(tie, "g", "k", F.col("t")))) == {(1, 2, 5), (3, 2, 5)}
+    words = [("k", "a"), ("k", "ab"), ("k", "abc" * 40), ("k", "abc" * 40 + "d"), ("k", "b"), (None, "b"), (None, "bb"), ("j", "b"), ("k", None), ("k", "ab")]
+    frame = spark.createDataFrame(words, "k string, v string")
+    assert {tuple(r) for r in R.drop_prefixes(frame, "k", "v").collect()} == {("k", "abc" * 40 + "d"), ("k", "b"), (None, "bb"), ("j", "b")}
+    pf = spark.createDataFrame([("g", True, True, 1), ("g", False, True, 2), ("h", False, True, 3), ("h", None, None, 4), (None, False, True, 5)], "g string, p boolean, f boolean, i int")
+    assert {r.i for r in R.primary_or_fallback(pf, "g", F.col("p"), F.col("f")).collect()} == {1, 3, 5}
     dom = spark.createDataFrame([(1, "b", 2, 0), (1, "a", 2, 1)], "k int, v string, w int, o int")
     assert rows(R.dominant(dom, "k", "v", "w", "o")) == [(1, "b")]
