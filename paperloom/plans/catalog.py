@@ -13,10 +13,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: By query, the rows of the operator inventory that it applies.
+COVERS: dict[str, tuple[str, ...]] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query, with its SQL where SQL can express it."""
+def query(name: str, sql: str | None = None, covers: str = "") -> Callable[[Query], Query]:
+    """Register a query, with its SQL where SQL can express it, and the inventory's rows that it applies."""
 
     def add(f: Query) -> Query:
         @wraps(f)
@@ -25,6 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             return f(spark, sf_dir)
 
         QUERIES[name] = run
+        COVERS[name] = tuple(covers.split())
         if sql is not None:
             ORACLES[name] = sql
         return f
