@@ -299,14 +299,15 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     "q12_availability_matrix",
     f"""
     WITH c AS (SELECT series, year, CASE WHEN arg_min({SAYS_DATA}, seq) THEN '✓' ELSE '-' END AS cell FROM {CALLS} GROUP BY series, year), s AS (SELECT unnest(['en', 'de', 'xx', 'es']) AS series)
-    SELECT s.series, {", ".join(f"coalesce(max(CASE WHEN year = {y} THEN cell END), '—') AS '{y}'" for y in (2022, 2019, 2016))} FROM s LEFT JOIN c ON c.series = s.series GROUP BY s.series
+    SELECT s.series, {", ".join(f"coalesce(max(CASE WHEN year = {y} THEN cell END), '—') AS y{y}" for y in (2022, 2019, 2016))} FROM s LEFT JOIN c ON c.series = s.series GROUP BY s.series
     """,
     covers="J20 O5 2.7c K9",
 )
 def availability_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three states a cell: the first record mentions, doesn't mention, or there's none."""
     said = T.mentions_availability(F.col("text"), F.col("series"), F.col("year"), SINCE, ["es"])
-    return V.matrix(calls(spark, sf_dir), said, ["en", "de", "xx", "es"], [2016, 2019, 2022])
+    got = V.matrix(calls(spark, sf_dir), said, ["en", "de", "xx", "es"], [2016, 2019, 2022])
+    return got.select("series", *[F.col(y).alias(f"y{y}") for y in got.columns[1:]])
 
 
 TRACK = "CASE WHEN series = 'de' THEN 'Research Track' WHEN seq % 4 = 0 THEN 'Research Track' WHEN seq % 4 = 1 THEN 'Posters - demos' WHEN heading <> '' THEN heading ELSE 'Other' END"
