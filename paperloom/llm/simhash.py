@@ -44,22 +44,30 @@ HAMMING = 0b10011  # and of the [15, 11] code
 THRESHOLD = 2
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
+def fingerprint(text: str | None, width: int = 3, distinct: bool = False) -> int:
+    """The bits set in over half of the hashes of the text's shingles; ``distinct`` counts each shingle once."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
+    digest = xxhash.xxh64_intdigest
+    if distinct and width == 1:
+        some = set(words)
+        return majority(np.fromiter([digest(w, 42) for w in some], np.uint64, len(some)))
     joined = b" ".join(words)
     n = len(words) - width + 1
     if n <= 1:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return digest(joined, 42)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[:n].tolist()
-    digest = xxhash.xxh64_intdigest
     h = np.fromiter([digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64, n)
+    return majority(np.unique(h) if distinct else h)
+
+
+def majority(h: np.ndarray) -> int:
     bytes_ = h.view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(bytes_[:, k], minlength=256) @ BYTE_BITS for k in range(8)])
-    return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
+    return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -274,10 +282,13 @@ def _group(each: DataFrame, key: str) -> DataFrame:
     return split_lookup(each, known, "fp", "n")
 
 
-def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 1, distinct: bool = True) -> DataFrame:
     """The rows of ``docs`` with the least key of each group of linked fingerprints, one row a group.
 
-    ``docs`` is read twice and has to give the same rows both times.
+    By default fingerprints are those of the distinct words: an edit changes
+    one of these where it changes several shingles, so near copies come within
+    the threshold far more often. ``docs`` is read twice and has to give the
+    same rows both times.
 
     A null key comes last. Of rows of a group that share that key and differ,
     the one with the least hash of all columns stays; of equal rows one stays.
@@ -291,7 +302,7 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
     kind = docs.schema[key].dataType.simpleString()
 
     def make():
-        return lambda b: {"key": b.column(0), "row": b.column(2), "fp": np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)}
+        return lambda b: {"key": b.column(0), "row": b.column(2), "fp": np.array([fingerprint(t, width, distinct) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)}
 
     each = cut(map_batches(tagged.select(key, text, row), make, f"key {kind}, row long, fp long"), "fingerprints")
     got = _group(each, "key")
