@@ -4,7 +4,7 @@ A pair of bytes that occurs inside no vocabulary token can never end up
 inside one token, so the text may be cut there: fragments between such cuts
 are encoded independently and their ids concatenated. Before that the text is
 cut where the vocabulary's own pre-tokeniser cuts. Encoded units are kept in a
-dictionary that is emptied when it reaches a fixed size.
+dictionary that is emptied when it reaches a fixed number of bytes.
 
 Defined results: a null or empty text has no ids; an id sequence that isn't
 valid UTF-8 decodes with replacement characters; repeated rows give repeated
@@ -23,13 +23,12 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
 from .arrow_map import map_batches
+from .kept import Kept
 from .session import read_table
 
 # White space of the pre-tokeniser: Python's \s without the four separators that only Python counts.
 UNIT = re.compile(r"(?: ?(?:\S|[\x1c-\x1f])+)|[^\S\x1c-\x1f]+(?!\S|[\x1c-\x1f])|[^\S\x1c-\x1f]")
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Units kept at once.
-KEPT = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -39,18 +38,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Units(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, unit):
-        if len(self) >= KEPT:
-            self.clear()
-        value = self[unit] = self.make(unit)
-        return value
-
-
 class ForcedBoundaryBPE:
     """Byte-level BPE from a tokenizers file whose ids follow its merges."""
 
@@ -68,8 +55,8 @@ class ForcedBoundaryBPE:
         self.core = tiktoken.Encoding("units", pat_str="", mergeable_ranks=vocab, special_tokens={})._core_bpe
         self.text_of = {str(i): t for t, i in vocab.items()} | {str(i): s.encode() for s, i in self.special.items()}
         self.split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.units = _Units(self._unit)
-        self.fragments = _Units(lambda b: self.core.encode_single_piece(b))
+        self.units = Kept(self._unit)
+        self.fragments = Kept(lambda b: self.core.encode_single_piece(b))
 
     def fragments_of(self, piece: bytes) -> list[bytes]:
         """``piece`` cut at every forced boundary."""

@@ -35,27 +35,14 @@ from tokenizers import Tokenizer
 
 from .arrow_map import map_batches
 from .bpe import byte_letters
+from .kept import Kept
 from .session import cut, read_table
 
 CAPACITY = 2048
-#: Chunks kept at once.
-KEPT = 400_000
 SIMPLE = re.compile("[!-~¡-įı-ſ]+")
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-class _Kept(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, x):
-        if len(self) >= KEPT:
-            self.clear()
-        value = self[x] = self.make(x)
-        return value
-
-
 class WordIds:
     """Little-endian 32-bit ids of a text, as the tokenizers library gives them.
 
@@ -72,8 +59,8 @@ class WordIds:
         letters = byte_letters()
         self.letters = str.maketrans({chr(b): c for c, b in letters.items()})
         self.ascii = self._ascii(json.loads(self.library.to_str())["model"]["vocab"], letters)
-        self.words = _Kept(self._word)
-        self.chunks = _Kept(self._chunk)
+        self.words = Kept(self._word)
+        self.chunks = Kept(self._chunk)
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
