@@ -221,7 +221,7 @@ def messages(block: int, keys: np.ndarray, values: tuple[np.ndarray, ...], kind:
         yield tree.node(member, 1, part), block, sorted_keys(keys[at]), kind.pack(tuple(v[at] for v in values))
 
 
-def _together(df: DataFrame, column: str, many: int) -> DataFrame:
+def together(df: DataFrame, column: str, many: int) -> DataFrame:
     """Dealt by ``column``, over more partitions than the session's where there are more groups."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(max(least, many // 2), column)
@@ -268,7 +268,7 @@ def _passed_on(sent: DataFrame, level: int, kind: Values, tree: Tree) -> DataFra
         rows = [(tree.node(group, level + 1, part), node, sorted_keys(m.keys[at]), kind.pack(tuple(v[at] for v in m.values))) for part, at in by_range(m.keys, tree.ranges[level])]
         return _table(rows, arrow)
 
-    return _together(sent, "node", tree.nodes(level)).groupBy("node").applyInArrow(up, spec)
+    return together(sent, "node", tree.nodes(level)).groupBy("node").applyInArrow(up, spec)
 
 
 def _settled(sent: DataFrame, level: int, kind: Values, tree: Tree) -> DataFrame:
@@ -282,7 +282,7 @@ def _settled(sent: DataFrame, level: int, kind: Values, tree: Tree) -> DataFrame
         m = _Merged(table, kind)
         return _table([*m.answers(m.values, part, kind), (-1, part, b"", kind.tally(m.keys, m.values))], arrow)
 
-    return _together(sent, "node", tree.nodes(level)).groupBy("node").applyInArrow(top, spec)
+    return together(sent, "node", tree.nodes(level)).groupBy("node").applyInArrow(top, spec)
 
 
 def _handed_down(sent: DataFrame, told: DataFrame, level: int, kind: Values, tree: Tree) -> DataFrame:
@@ -298,7 +298,7 @@ def _handed_down(sent: DataFrame, told: DataFrame, level: int, kind: Values, tre
         return _table(_Merged(left, kind).answers(whole(right, kind), part, kind), arrow)
 
     n = tree.nodes(level)
-    return _together(sent, "node", n).groupBy("node").cogroup(_together(told, "child", n).groupBy("child")).applyInArrow(down, spec)
+    return together(sent, "node", n).groupBy("node").cogroup(together(told, "child", n).groupBy("child")).applyInArrow(down, spec)
 
 
 def whole(replies: pa.Table, kind: Values) -> tuple[np.ndarray, ...]:
@@ -332,7 +332,7 @@ def gather(sent: DataFrame, kind: Values, tree: Tree, name: str) -> tuple[DataFr
 
 def with_replies(blocks: DataFrame, told: DataFrame, many: int) -> tuple[DataFrame, DataFrame]:
     """Both grouped by block for a cogroup; ``many`` is the number of blocks."""
-    left, right = _together(blocks, "block", many), _together(told.withColumnRenamed("child", "block"), "block", many)
+    left, right = together(blocks, "block", many), together(told.withColumnRenamed("child", "block"), "block", many)
     return left.groupBy("block"), right.groupBy("block")
 
 

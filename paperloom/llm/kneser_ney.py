@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_map import bounded_batches, lean, schema_of
-from .exchange import expand, mix, rows_to_batches, squeeze
+from .exchange import expand, mix, rows_to_batches, squeeze, together
 from .session import cut, drop_tables, read_table
 from .skew import split_lookup
 
@@ -213,7 +213,8 @@ def perplexities(docs: DataFrame, model: DataFrame, *, keep: list[str], text: st
 
     sent = cut(blocks.select("block", "words").mapInArrow(messages, kind), "messages")
     copies = max(1, -(-sent.count() // (MESSAGES * shards)))
-    dealt = sent.withColumn("copy", F.pmod(F.xxhash64("block"), F.lit(copies)))
+    node = lambda shard, copy: shard * copies + copy
+    dealt = sent.withColumn("node", node(F.col("shard"), F.pmod(F.xxhash64("block"), F.lit(copies))))
     put, row = schema_of("shard long, id long, value double")
 
     def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +222,8 @@ def perplexities(docs: DataFrame, model: DataFrame, *, keep: list[str], text: st
             ids = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(shard_of(ids, shards)), b.column(0), b.column(1)], schema=row)
 
-    table = model.select("id", "value").mapInArrow(sharded, put).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long")))
+    table = model.select("id", "value").mapInArrow(sharded, put).withColumn("copy", each).select(node(F.col("shard"), F.col("copy")).alias("node"), "id", "value")
     back, told = schema_of("block long, ids binary, found binary, value binary")
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -238,7 +240,7 @@ def perplexities(docs: DataFrame, model: DataFrame, *, keep: list[str], text: st
                 o.append(c)
         return pa.Table.from_arrays([pa.array(o, f.type) for o, f in zip(out, told, strict=True)], schema=told)
 
-    replies = dealt.groupBy("shard", "copy").cogroup(table.groupBy("shard", "copy")).applyInArrow(answer, back)
+    replies = together(dealt, "node", shards * copies).groupBy("node").cogroup(together(table, "node", shards * copies).groupBy("node")).applyInArrow(answer, back)
     extra = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     final, scored = schema_of(f"{extra}, n_bytes long, log10_prob double, perplexity double")
 
@@ -266,7 +268,8 @@ def perplexities(docs: DataFrame, model: DataFrame, *, keep: list[str], text: st
             out.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cells, scored, strict=True)], schema=scored))
         return pa.concat_tables(out) if out else pa.Table.from_batches([], schema=scored)
 
-    got = cut(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(meet, final), "perplexities")
+    many = blocks.count()
+    got = cut(together(blocks, "block", many).groupBy("block").cogroup(together(replies, "block", many).groupBy("block")).applyInArrow(meet, final), "perplexities")
     drop_tables(spark, blocks, sent)
     return got
 

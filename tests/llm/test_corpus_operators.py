@@ -179,6 +179,51 @@ def test_kneser_ney_sums_to_one(spark):
         assert total == pytest.approx(1)
 
 
+def test_perplexities_as_a_direct_model(make, spark, monkeypatch):
+    """Counts, discounts, lower orders and sums worked out in plain Python, for several orders, over small blocks and shards."""
+    monkeypatch.setattr(kneser_ney, "SHARD_KEYS", 40)
+    monkeypatch.setattr(kneser_ney, "MESSAGES", 2)
+    texts = [*corpus(25, 8, 40), "Ünder över w1 w1", "w1"]
+    others = [*corpus(15, 9, 40), None, "", "quite other words", "ünder w2 𝛼"]
+    for order in (1, 2, 4):
+        grams = collections.Counter()
+        for t in texts:
+            for w in t.encode().split():
+                padded = b"\n" * (order - 1) + w + b"\n"
+                grams.update(padded[i : i + order] for i in range(len(w) + 1))
+        levels = {order: grams}
+        for k in range(order, 1, -1):
+            levels[k - 1] = collections.Counter(g[1:] for g in levels[k])  # distinct left neighbours
+        table = {}
+        for k, counts in levels.items():
+            c = [0, *(sum(n == i for n in counts.values()) for i in (1, 2, 3, 4))]
+            y = c[1] / (c[1] + 2 * c[2]) if c[1] and c[2] else 0.5
+            d = [0, *(min(max(i - (i + 1) * y * c[i + 1] / c[i] if c[i] else 0.5 * i, 0.1), i - 0.05) for i in (1, 2, 3))]
+            total, left = collections.Counter(), collections.Counter()
+            for g, n in counts.items():
+                total[g[:-1]] += n
+                left[g[:-1]] += d[min(n, 3)]
+            table[k] = counts, d, total, left
+
+        def prob(g, table=table):
+            if not g:
+                return 1 / 256
+            counts, d, total, left = table[len(g)]
+            h = g[:-1]
+            lower = prob(g[1:])
+            return lower if not total[h] else (counts[g] - d[min(counts[g], 3)]) / total[h] + left[h] / total[h] * lower
+
+        model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"), order)
+        got = {r.doc_id: r for r in kneser_ney.perplexities(make(others), model, keep=["doc_id"], order=order, block_words=60).collect()}
+        for i, t in enumerate(others):
+            want, n = 0.0, 0
+            for w in (t or "").encode().split():
+                padded = b"\n" * (order - 1) + w + b"\n"
+                want += sum(math.log10(prob(padded[j : j + order])) for j in range(len(w) + 1))
+                n += len(w) + 1
+            assert got[i].n_bytes == n and got[i].log10_prob == pytest.approx(want, rel=1e-4) and got[i].perplexity == pytest.approx(10 ** (-want / max(n, 1)), rel=1e-4)
+
+
 def test_quality_classifier(make, spark, monkeypatch):
     monkeypatch.setattr(kneser_ney, "SHARD_KEYS", 40)
     monkeypatch.setattr(kneser_ney, "MESSAGES", 2)
@@ -235,6 +280,13 @@ def test_anchors_cover():
             assert int(code.home(y)[0]) in to[i] and int(code.home(fp[i : i + 1])[0]) in set(code.reach(y)[1].tolist())
 
 
+def test_fingerprints_of_distinct_words():
+    a, b = simhash.fingerprint("a b c b a a", 1, True), simhash.fingerprint("C b A", 1, True)
+    assert a == b != simhash.fingerprint("a b c b a a", 1) and simhash.fingerprint("a b a b a", 2, True) == simhash.fingerprint("b a b a", 2, True)
+    h = [xxhash.xxh64_intdigest(w, 42) for w in (b"a", b"b", b"c")]
+    assert a == sum(1 << i for i in range(64) if sum(x >> i & 1 for x in h) > 1.5) and simhash.fingerprint(None, 1, True) == 0
+
+
 @pytest.mark.parametrize("dense", [200_000, 10])
 def test_local_roots(dense):
     r = np.random.default_rng(2)
