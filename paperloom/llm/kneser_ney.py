@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_map import bounded_batches, lean, schema_of
+from .exchange import dealt as mixed
 from .exchange import expand, mix, rows_to_batches, squeeze, together
 from .session import cut, drop_tables, read_table
 from .skew import split_lookup
@@ -185,36 +186,40 @@ def words_of(row: dict) -> list[bytes]:
     return joined.split(b"\n") if joined else []
 
 
+def asked_ids(words: list[bytes], order: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ids that a block needs, by shard and in each in order, and their shards."""
+    if not words:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    flat, place = spell(words)
+    ids = np.concatenate([np.unique(x) for pair in parts(np.unique(grams(flat, place, order)), order) for x in pair])
+    ids.sort()
+    to = shard_of(ids, shards)
+    by = np.argsort(to, kind="stable")
+    return ids[by], to[by]
+
+
 def perplexities(docs: DataFrame, model: DataFrame, *, keep: list[str], text: str = "text", order: int = ORDER, block_words: int = BLOCK_WORDS) -> DataFrame:
     """keep, n_bytes, log10_prob, perplexity: one row per row of ``docs``."""
     spark = docs.sparkSession
     blocks = cut(make_blocks(docs, text=text, keep=keep, block_words=block_words), "spelled")
     shards = max(1, -(-model.count() // SHARD_KEYS))
-    kind, arrow = schema_of("shard long, block long, ids binary")
+    many = blocks.count()
+    copies = max(1, -(-many // MESSAGES))  # a block sends a shard one message at most
+    kind, arrow = schema_of("node long, shard long, block long, ids binary")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for row in b.to_pylist():
-                words = words_of(row)
-                if not words:
-                    continue
-                flat, place = spell(words)
-                ids = np.concatenate([np.unique(x) for pair in parts(np.unique(grams(flat, place, order)), order) for x in pair])
-                ids.sort()
-                to = shard_of(ids, shards)
-                by = np.argsort(to, kind="stable")
-                some, starts = np.unique(to[by], return_index=True)
-                for s, part in zip(some.tolist(), np.split(ids[by], starts[1:]), strict=True):
-                    yield s, row["block"], squeeze(np.diff(part, prepend=np.uint64(0)))
+                ids, to = asked_ids(words_of(row), order, shards)
+                some, starts = np.unique(to, return_index=True)
+                for s, part in zip(some.tolist(), np.split(ids, starts[1:]), strict=True) if len(ids) else ():
+                    yield s * copies + mixed(row["block"]) % copies, s, row["block"], squeeze(np.diff(part, prepend=np.uint64(0)))
 
     def messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         yield from rows_to_batches(ask(batches), arrow)
 
-    sent = cut(blocks.select("block", "words").mapInArrow(messages, kind), "messages")
-    copies = max(1, -(-sent.count() // (MESSAGES * shards)))
-    node = lambda shard, copy: shard * copies + copy
-    dealt = sent.withColumn("node", node(F.col("shard"), F.pmod(F.xxhash64("block"), F.lit(copies))))
+    dealt = blocks.select("block", "words").mapInArrow(messages, kind)
     put, row = schema_of("shard long, id long, value double")
 
     def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,8 +228,8 @@ def perplexities(docs: DataFrame, model: DataFrame, *, keep: list[str], text: st
             yield pa.RecordBatch.from_arrays([pa.array(shard_of(ids, shards)), b.column(0), b.column(1)], schema=row)
 
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long")))
-    table = model.select("id", "value").mapInArrow(sharded, put).withColumn("copy", each).select(node(F.col("shard"), F.col("copy")).alias("node"), "id", "value")
-    back, told = schema_of("block long, ids binary, found binary, value binary")
+    table = model.select("id", "value").mapInArrow(sharded, put).withColumn("copy", each).select((F.col("shard") * copies + F.col("copy")).alias("node"), "id", "value")
+    back, told = schema_of("block long, shard long, found binary, value binary")
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         lean()
@@ -236,7 +241,7 @@ def perplexities(docs: DataFrame, model: DataFrame, *, keep: list[str], text: st
             mine = np.cumsum(expand(r["ids"], "u8"), dtype=np.uint64)
             at = np.minimum(np.searchsorted(ids, mine), max(0, len(ids) - 1))
             hit = ids[at] == mine if len(ids) else np.zeros(len(mine), bool)
-            for o, c in zip(out, (r["block"], r["ids"], squeeze(hit.astype("u1")), squeeze(value[at[hit]])), strict=True):
+            for o, c in zip(out, (r["block"], r["shard"], squeeze(hit.astype("u1")), squeeze(value[at[hit]])), strict=True):
                 o.append(c)
         return pa.Table.from_arrays([pa.array(o, f.type) for o, f in zip(out, told, strict=True)], schema=told)
 
@@ -247,19 +252,16 @@ def perplexities(docs: DataFrame, model: DataFrame, *, keep: list[str], text: st
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         lean()
         out = []
-        got = right.to_pylist()
-        ids = np.concatenate([np.cumsum(expand(r["ids"], "u8"), dtype=np.uint64) for r in got]) if got else np.zeros(0, np.uint64)
-        known = np.full(len(ids), np.nan)
-        at = 0
-        for r in got:
-            hit = np.flatnonzero(expand(r["found"], "u1")) + at
-            known[hit] = expand(r["value"], "f4")
-            at += int.from_bytes(r["found"][:8], "little")
-        by = np.argsort(ids)
-        ids, known = ids[by], known[by]
+        replies = sorted(right.to_pylist(), key=lambda r: r["shard"])
         for r in left.to_pylist():
+            words = words_of(r)
+            ids, _ = asked_ids(words, order, shards)
+            known = np.full(len(ids), np.nan)
+            if len(ids):  # replies come in the order in which was asked
+                known[np.concatenate([expand(x["found"], "u1") for x in replies]) > 0] = np.concatenate([expand(x["value"], "f4") for x in replies])
+            by = np.argsort(ids)
             codes, sizes = expand(r["codes"], "i4"), expand(r["sizes"], "i8")
-            score, size = word_scores(words_of(r), ids, known, order)
+            score, size = word_scores(words, ids[by], known[by], order)
             ends = np.cumsum(sizes)
             total = np.r_[0.0, np.cumsum(score[codes])] if len(codes) else np.zeros(1)
             many = np.r_[0, np.cumsum(size[codes])] if len(codes) else np.zeros(1, np.int64)
@@ -268,9 +270,8 @@ def perplexities(docs: DataFrame, model: DataFrame, *, keep: list[str], text: st
             out.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cells, scored, strict=True)], schema=scored))
         return pa.concat_tables(out) if out else pa.Table.from_batches([], schema=scored)
 
-    many = blocks.count()
     got = cut(together(blocks, "block", many).groupBy("block").cogroup(together(replies, "block", many).groupBy("block")).applyInArrow(meet, final), "perplexities")
-    drop_tables(spark, blocks, sent)
+    drop_tables(spark, blocks)
     return got
 
 
