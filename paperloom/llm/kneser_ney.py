@@ -14,7 +14,8 @@ for each distinct n-gram of its distinct words once, by messages to the shards
 of the model table, and the answers are joined back to the block, which adds
 up its documents. Messages to a shard are split over as many copies of it as
 their number demands. Neither the model nor a vocabulary is broadcast. Blocks
-are written once, so a lost task doesn't pack them anew.
+are named by a digest of their content, so the second scan, which brings them
+to the answers, names them alike; a block whose answers aren't there is an error.
 
 A document is kept if its perplexity is at most its language's threshold, set
 from quantiles among trusted documents that the model wasn't trained on: the
@@ -34,18 +35,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_map import bounded_batches, lean, schema_of
 from .exchange import dealt as mixed
 from .exchange import expand, mix, rows_to_batches, squeeze, together
-from .session import cut, drop_tables, read_table
+from .session import cut, read_table
 from .skew import split_lookup
 
 ORDER = 5
 EDGE = 10  # the line feed never occurs in a word
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 1_500_000
 SHARD_KEYS = 400_000
 MESSAGES = 48
 #: Most trusted documents that the model is trained on, those of least hash.
@@ -147,9 +149,9 @@ def parts(keys: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray
 
 
 def make_blocks(docs: DataFrame, *, text: str, keep: list[str], block_words: int) -> DataFrame:
-    """(block, words, codes, sizes, keep as arrays): distinct words, codes into them, words per document."""
+    """(block, words, codes, sizes, keep as arrays): distinct words, codes into them, words per document; ``block`` is a digest of all that."""
     bounded_batches(docs.sparkSession)
-    kind, arrow = schema_of("words binary, codes binary, sizes binary, " + ", ".join(f"`{c}` array<{docs.schema[c].dataType.simpleString()}>" for c in keep))
+    kind, arrow = schema_of("block long, words binary, codes binary, sizes binary, " + ", ".join(f"`{c}` array<{docs.schema[c].dataType.simpleString()}>" for c in keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -160,7 +162,11 @@ def make_blocks(docs: DataFrame, *, text: str, keep: list[str], block_words: int
 
         def done() -> pa.RecordBatch:
             joined = np.frombuffer(b"\n".join(words), np.uint8) if words else np.zeros(0, np.uint8)
-            cells = [squeeze(joined), squeeze(np.concatenate(codes)), squeeze(np.array([len(c) for c in codes], np.int64)), *kept]
+            flat = np.concatenate(codes)
+            digest = xxhash.xxh3_64(joined.tobytes())
+            digest.update(flat.tobytes())
+            digest.update(repr(kept).encode())
+            cells = [digest.intdigest() - (1 << 63), squeeze(joined), squeeze(flat), squeeze(np.array([len(c) for c in codes], np.int64)), *kept]
             return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, arrow, strict=True)], schema=arrow)
 
         for b in batches:
@@ -178,7 +184,7 @@ def make_blocks(docs: DataFrame, *, text: str, keep: list[str], block_words: int
         if codes:
             yield done()
 
-    return docs.select(text, *keep).mapInArrow(run, kind).withColumn("block", F.monotonically_increasing_id())
+    return docs.select(text, *keep).mapInArrow(run, kind)
 
 
 def words_of(row: dict) -> list[bytes]:
@@ -200,10 +206,10 @@ def asked_ids(words: list[bytes], order: int, shards: int) -> tuple[np.ndarray,
 
 def perplexities(docs: DataFrame, model: DataFrame, *, keep: list[str], text: str = "text", order: int = ORDER, block_words: int = BLOCK_WORDS) -> DataFrame:
     """keep, n_bytes, log10_prob, perplexity: one row per row of ``docs``."""
-    spark = docs.sparkSession
-    blocks = cut(make_blocks(docs, text=text, keep=keep, block_words=block_words), "spelled")
+    blocks = make_blocks(docs, text=text, keep=keep, block_words=block_words)
     shards = max(1, -(-model.count() // SHARD_KEYS))
-    many = blocks.count()
+    chars, ranges = docs.select(F.length(text).alias("n"), F.spark_partition_id().alias("p")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.countDistinct("p")).first()
+    many = ranges + chars // (4 * block_words)  # about as many blocks, or more
     copies = max(1, -(-many // MESSAGES))  # a block sends a shard one message at most
     kind, arrow = schema_of("node long, shard long, block long, ids binary")
 
@@ -252,11 +258,13 @@ def perplexities(docs: DataFrame, model: DataFrame, *, keep: list[str], text: st
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         lean()
         out = []
-        replies = sorted(right.to_pylist(), key=lambda r: r["shard"])
+        replies = sorted({r["shard"]: r for r in right.to_pylist()}.values(), key=lambda r: r["shard"])  # equal blocks ask alike
         for r in left.to_pylist():
             words = words_of(r)
             ids, _ = asked_ids(words, order, shards)
             known = np.full(len(ids), np.nan)
+            if len(ids) and sum(int.from_bytes(x["found"][:8], "little") for x in replies) != len(ids):
+                raise RuntimeError("a block was packed differently the second time")
             if len(ids):  # replies come in the order in which was asked
                 known[np.concatenate([expand(x["found"], "u1") for x in replies]) > 0] = np.concatenate([expand(x["value"], "f4") for x in replies])
             by = np.argsort(ids)
@@ -270,9 +278,7 @@ def perplexities(docs: DataFrame, model: DataFrame, *, keep: list[str], text: st
             out.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cells, scored, strict=True)], schema=scored))
         return pa.concat_tables(out) if out else pa.Table.from_batches([], schema=scored)
 
-    got = cut(together(blocks, "block", many).groupBy("block").cogroup(together(replies, "block", many).groupBy("block")).applyInArrow(meet, final), "perplexities")
-    drop_tables(spark, blocks)
-    return got
+    return cut(together(blocks, "block", many).groupBy("block").cogroup(together(replies, "block", many).groupBy("block")).applyInArrow(meet, final), "perplexities")
 
 
 def word_scores(words: list[bytes], ids: np.ndarray, known: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
