@@ -410,8 +410,15 @@ def main_text(html: str | None, weights: np.ndarray | None = None) -> str:
 
 
 def train(pages: DataFrame, *, html: str = "html", sample: int = SAMPLE) -> np.ndarray:
-    """Weights from at most ``sample`` pages. What comes to the driver are counts by pattern of features, bounded by the number of patterns."""
-    some = pages.select(F.col(html).alias("html")).filter("html is not null").orderBy(F.xxhash64("html")).limit(sample)
+    """Weights from at most ``sample`` different pages; equal ones count each.
+
+    The sample is told by a bound on the hash, so no page leaves its task. What
+    comes to the driver are counts by pattern of features, bounded by the
+    number of patterns.
+    """
+    some = pages.select(F.col(html).alias("html")).filter("html is not null")
+    bound = some.select(F.xxhash64("html").alias("h")).distinct().orderBy("h").limit(sample).groupBy().agg(F.max("h").alias("h")).first()["h"]
+    some = some.filter(F.xxhash64("html") <= F.lit(bound).cast("long"))
 
     def make():
         def f(b):
@@ -427,7 +434,7 @@ def train(pages: DataFrame, *, html: str = "html", sample: int = SAMPLE) -> np.n
 
 
 def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """key, url, text and n_chars: one row per row of ``pages``, which is read twice."""
+    """key, url, text and n_chars: one row per row of ``pages``, which is read three times."""
     weights = train(pages, html=html, sample=sample)
 
     def make():
