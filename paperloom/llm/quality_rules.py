@@ -2,11 +2,14 @@
 
 Everything is a built-in Spark expression: no user functions, no shuffle, one
 pass over the text. A rule names a metric, a lower and an upper bound; the
-table may be replaced by the caller.
+table may be replaced by the caller. A rule may bind some languages only: the
+stop-word bound says nothing about a text in a language without a list.
 
 Defined results: a null text counts as empty (no words); an empty text has
 zero for every count and is rejected by the base rule; null bounds do not
-bind; ratios over zero words or lines are zero; repeated rows are judged
+bind; a null or empty language, or none at all, binds like a listed one, and
+of a tag such as ``en-GB`` the part before the hyphen counts, in either case;
+ratios over zero words or lines are zero; repeated rows are judged
 alike; other columns are ignored or, in :func:`keep_good`, passed on.
 """
 
@@ -21,22 +24,24 @@ from .session import read_table
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-STOP_WORDS = (
-    "the be to of and that have with for are was is in on it this by or "
-    "le la les de des et un une est que qui dans pour en du au "
-    "der die das und ist ein eine den von zu mit auf für nicht sich "
-    "el los las una por con para del se no es como su al lo"
-).split()
+STOP_WORDS = {
+    "en": "the be to of and that have with for are was is in on it this by or",
+    "fr": "le la les de des et un une est que qui dans pour en du au",
+    "de": "der die das und ist ein eine den von zu mit auf für nicht sich",
+    "es": "el los las una por con para del se no es como su al lo",
+}
+LISTED = sorted({w for words in STOP_WORDS.values() for w in words.split()})
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects a text whose ``metric`` is under ``least`` or over ``most``."""
+    """Rejects a text whose ``metric`` is under ``least`` or over ``most``, of ``langs`` only if given."""
 
     name: str
     metric: str
     least: float | None = None
     most: float | None = None
+    langs: tuple[str, ...] | None = None
 
 
 #: Thresholds in the spirit of published web-corpus filters.
@@ -46,7 +51,7 @@ RULES = (
     Rule("repeated_words", "repeat_ratio", None, 0.4),
     Rule("repeated_lines", "dup_line_ratio", None, 0.5),
     Rule("capitals", "capital_ratio", None, 0.5),
-    Rule("stop_words", "stop_word_ratio", 0.01, None),
+    Rule("stop_words", "stop_word_ratio", 0.01, None, tuple(STOP_WORDS)),
     Rule("bullet_lines", "bullet_ratio", None, 0.9),
     Rule("cut_lines", "ellipsis_ratio", None, 0.3),
 )
@@ -93,7 +98,7 @@ def metrics(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, Col
         "n_dup_lines": count(c["l"]) - count(F.array_distinct(c["l"])),
         "n_repeat_words": F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x.cast("long")),
         "n_capitals": F.length(F.regexp_replace(c["t"], r"[^\p{Lu}]+", "")).cast("long"),
-        "n_stop_words": count(F.filter(c["w"], lambda w: F.lower(w).isin(STOP_WORDS))),
+        "n_stop_words": count(F.filter(c["w"], lambda w: F.lower(w).isin(LISTED))),
         "n_bullets": count(F.filter(c["l"], lambda x: x.rlike(r"^\s*[-*•‣◦]"))),
         "n_ellipses": count(F.filter(c["l"], lambda x: x.rlike(r"(\.\.\.|…)\s*$"))),
     }
@@ -113,8 +118,15 @@ def measured(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
     return got.select(*[F.col(f"`{n}`") for n in names], one.alias(q)), q
 
 
-def verdict(q: str, rules: tuple[Rule, ...]) -> tuple[Column, Column, Column]:
-    """(base_failed, kept, names of the failed rules) over the struct ``q``."""
+def language(df: DataFrame, lang: str | None) -> Column:
+    """The language of each row, lower-cased and without its region; empty if it isn't told."""
+    if lang is None or lang.lower() not in [c.lower() for c in df.columns]:
+        return F.lit("")
+    return F.coalesce(F.lower(F.element_at(F.split(F.col(f"`{lang}`").cast("string"), "[-_]"), 1)), F.lit(""))
+
+
+def verdict(q: str, rules: tuple[Rule, ...], tongue: Column) -> tuple[Column, Column, Column]:
+    """(base_failed, kept, names of the failed rules) over the struct ``q`` and the rows' language."""
     r = lambda k: F.col(q)[k]
     over = lambda a, b: F.when(r(b) > 0, r(a) / r(b)).otherwise(F.lit(0.0))
     ratios = {
@@ -133,24 +145,26 @@ def verdict(q: str, rules: tuple[Rule, ...]) -> tuple[Column, Column, Column]:
         v = over(*ratios[x.metric]) if x.metric in ratios else r(x.metric)
         low = F.lit(False) if x.least is None else v < F.lit(x.least)
         high = F.lit(False) if x.most is None else v > F.lit(x.most)
-        each.append((x.name, low | high))
+        binds = F.lit(True) if x.langs is None else tongue.isin("", *x.langs)
+        each.append((x.name, (low | high) & binds))
     kept = ~base
     for _, bad in each:
         kept = kept & ~bad
     return base, kept, F.concat_ws(",", *[F.when(bad, F.lit(name)) for name, bad in each])
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
     """One row per row of ``docs``: key, the counts, base_failed, kept, failed_rules."""
-    got, q = measured(docs.select(F.col(key), F.col(text)), text)
-    base, kept, failed = verdict(q, rules)
+    own = _clear(docs, ["g"]) + "g"
+    got, q = measured(docs.select(F.col(key), F.col(text), language(docs, lang).alias(own)), text)
+    base, kept, failed = verdict(q, rules, F.col(own))
     return got.select(F.col(key), F.col(f"{q}.*"), base.alias("base_failed"), kept.alias("kept"), failed.alias("failed_rules"))
 
 
-def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text", lang: str | None = "lang") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only."""
     got, q = measured(docs, text)
-    return got.filter(verdict(q, rules)[1]).select(*[F.col(f"`{n}`") for n in docs.columns])
+    return got.filter(verdict(q, rules, language(docs, lang))[1]).select(*[F.col(f"`{n}`") for n in docs.columns])
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,17 +185,18 @@ def _sql(rules: tuple[Rule, ...] = RULES) -> str:
         a, b = ratios[x.metric]
         value = f"(CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0 END)"
         sides = [f"{value} < {x.least}"] * (x.least is not None) + [f"{value} > {x.most}"] * (x.most is not None)
-        failed.append(f"CASE WHEN {' OR '.join(sides)} THEN '{x.name}' END")
+        binds = "" if x.langs is None else f" AND tongue IN ('', {', '.join(map(repr, x.langs))})"
+        failed.append(f"CASE WHEN ({' OR '.join(sides)}){binds} THEN '{x.name}' END")
     blank = r"[\x20\x09-\x0D]"
     return f"""
-    WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
-    w AS (SELECT row, doc_id, t, [x FOR x IN string_split_regex(t, '{blank}+') IF x <> ''] AS w,
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, coalesce(lower(regexp_extract(lang, '^[^-_]*')), '') AS tongue FROM documents),
+    w AS (SELECT row, doc_id, tongue, t, [x FOR x IN string_split_regex(t, '{blank}+') IF x <> ''] AS w,
         [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS l FROM d),
     g AS (SELECT row, i, count(*) OVER (PARTITION BY row, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
     r AS (SELECT row, count(DISTINCT k) AS n_repeat_words FROM (SELECT row, unnest([i, i + 1, i + 2]) AS k FROM g WHERE n > 1) GROUP BY row),
-    m AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '{blank}+', '', 'g')) AS word_chars, length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols,
+    m AS (SELECT doc_id, tongue, len(w) AS n_words, length(regexp_replace(t, '{blank}+', '', 'g')) AS word_chars, length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols,
         len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) AS n_capitals,
-        len([x FOR x IN w IF lower(x) IN ({", ".join(f"'{x}'" for x in STOP_WORDS)})]) AS n_stop_words, len([x FOR x IN l IF regexp_matches(x, '^{blank}*[-*•‣◦]')]) AS n_bullets,
+        len([x FOR x IN w IF lower(x) IN ({", ".join(f"'{x}'" for x in LISTED)})]) AS n_stop_words, len([x FOR x IN l IF regexp_matches(x, '^{blank}*[-*•‣◦]')]) AS n_bullets,
         len([x FOR x IN l IF regexp_matches(x, '(\\.\\.\\.|…){blank}*$')]) AS n_ellipses FROM w LEFT JOIN r USING (row)),
     v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, concat_ws(',', {", ".join(failed)}) AS failed_rules FROM m)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, n_lines, n_capitals, n_stop_words, failed_rules FROM v

@@ -8,8 +8,10 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.llm import bpe, html_content, packing, quality_rules, secret_scan
 
@@ -205,6 +207,21 @@ def test_rules(odd, make):
     assert quality_rules.keep_good(d, ()).count() == 3 and quality_rules.judge(d.limit(0)).count() == 0
 
 
+def test_stop_words_bind_listed_languages(spark):
+    """A clean text in a language without a list stays; a listed or untold language is held to its list."""
+    none = " ".join(f"sana{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80))
+    langs = ["fi", "en", "EN-gb", "de_AT", "", None, "fi-FI", "ru"]
+    d = spark.createDataFrame(list(enumerate(langs)), "doc_id long, lang string").withColumn("text", F.lit(none))
+    assert {r.doc_id for r in quality_rules.keep_good(d).collect()} == {0, 6, 7}
+    assert {r.doc_id: r.failed_rules for r in quality_rules.judge(d).collect()} == {i: "" if i in (0, 6, 7) else "stop_words" for i in range(8)}
+    assert quality_rules.keep_good(d.drop("lang")).count() == 0 and quality_rules.keep_good(d, lang=None).count() == 0
+    con = duckdb.connect()
+    con.register("documents", d.toPandas())
+    names = quality_rules.judge(d).columns
+    want = con.sql(f"SELECT doc_id, kept, failed_rules FROM ({quality_rules.SQL}) ORDER BY doc_id").fetchall()
+    assert names[0] == "doc_id" and want == [tuple(r) for r in quality_rules.judge(d).orderBy("doc_id").select("doc_id", "kept", "failed_rules").collect()]
+
+
 def test_min_cut_against_all_labellings():
     r = random.Random(0)
     for _ in range(600):
