@@ -8,7 +8,7 @@ from collections.abc import Callable
 class Kept(dict):
     """``make(key)`` for strings or bytes, kept until about ``most`` bytes are; then all go. Long keys are made anew each time."""
 
-    def __init__(self, make: Callable, most: int = 48 << 20, longest: int = 256):
+    def __init__(self, make: Callable, most: int = 96 << 20, longest: int = 256):
         super().__init__()
         self.make, self.most, self.longest, self.held = make, most, longest, 0
 

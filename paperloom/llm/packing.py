@@ -20,6 +20,7 @@ packed each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -39,6 +40,8 @@ from .kept import Kept
 from .session import cut, read_table
 
 CAPACITY = 2048
+#: A word's last byte as the ASCII ranks have it.
+LAST = [bytes([i | 128]) for i in range(128)]
 SIMPLE = re.compile("[!-~¡-įı-ſ]+")
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -59,8 +62,8 @@ class WordIds:
         letters = byte_letters()
         self.letters = str.maketrans({chr(b): c for c, b in letters.items()})
         self.ascii = self._ascii(json.loads(self.library.to_str())["model"]["vocab"], letters)
-        self.words = Kept(self._word)
         self.chunks = Kept(self._chunk)
+        self.words = Kept(self._word, 16 << 20)  # parts of chunks; words that are chunks by themselves are kept there
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
@@ -79,19 +82,26 @@ class WordIds:
 
     def _word(self, word: str) -> bytes:
         if word.isascii():
-            b = bytearray(word.encode())
-            b[-1] |= 128
-            return array("I", self.ascii.encode_single_piece(bytes(b))).tobytes()
+            return self._plain(word.encode())
         return self._bytes([t.id for t in self.library.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
 
+    def _plain(self, word: bytes) -> bytes:
+        return array("I", self.ascii.encode_single_piece(word[:-1] + LAST[word[-1]])).tobytes()
+
     def _chunk(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # ASCII letters
+            low = chunk.lower()
+            return self._plain(chunk) if low == chunk else self.chunks[low]
+        if chunk[-1] in b".,;:!?" and chunk[:-1].isalpha():
+            return self.chunks[chunk[:-1].lower()] + self.words[chr(chunk[-1])]
         text = chunk.decode("utf-8", "surrogatepass")
-        if text.isascii() or SIMPLE.fullmatch(text):
-            if text.isalpha():
-                return self.words[text.lower()]
-            if text[-1] in ".,;:!?" and text[:-1].isalpha():
-                return self.words[text[:-1].lower()] + self.words[text[-1]]
-        if SIMPLE.fullmatch(text) and "<|" not in text:
+        simple = SIMPLE.fullmatch(text)
+        if simple and text.isalpha():
+            low = text.lower()
+            return self._word(text) if low == text else self.chunks[low.encode()]
+        if simple and text[-1] in ".,;:!?" and text[:-1].isalpha():
+            return self.chunks[text[:-1].lower().encode()] + self.words[text[-1]]
+        if simple and "<|" not in text:
             return b"".join([self.words[w] for w in PIECE.findall(text.lower())])
         return self._bytes(self.library.encode(text, add_special_tokens=False).ids)
 
@@ -100,11 +110,17 @@ class WordIds:
         return b"".join([chunks[c] for c in text.encode("utf-8", "surrogatepass").split()])
 
 
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a worker."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, piece, start, length, ids_crc32, nth, block); nth counts the pieces of that length in its block."""
 
     def make():
-        coder = WordIds(path)
+        coder = word_ids(path)
         tail = np.array([end], "<u4").tobytes()
         seen = np.zeros(capacity + 1, np.int64)
 
