@@ -13,6 +13,7 @@ results; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -56,7 +57,7 @@ class ForcedBoundaryBPE:
         self.text_of = {str(i): t for t, i in vocab.items()} | {str(i): s.encode() for s, i in self.special.items()}
         self.split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.units = Kept(self._unit)
-        self.fragments = Kept(lambda b: self.core.encode_single_piece(b))
+        self.fragments = Kept(lambda b: self.core.encode_single_piece(b), 1 << 20)  # single bytes only
 
     def fragments_of(self, piece: bytes) -> list[bytes]:
         """``piece`` cut at every forced boundary."""
@@ -81,11 +82,17 @@ class ForcedBoundaryBPE:
         return b"".join(map(self.text_of.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
 
+@functools.lru_cache(maxsize=1)
+def byte_pairs(path: str) -> ForcedBoundaryBPE:
+    """One for all tasks of a worker."""
+    return ForcedBoundaryBPE(path)
+
+
 def round_trip(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids (decimal, comma-joined) and the text decoded from them, as digests."""
 
     def make():
-        bpe = ForcedBoundaryBPE(path)
+        bpe = byte_pairs(path)
 
         def f(b):
             n, ids, back = [], [], []
@@ -106,7 +113,7 @@ def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text
     """key and ``ids array<int>`` of every text."""
 
     def make():
-        bpe = ForcedBoundaryBPE(path)
+        bpe = byte_pairs(path)
         return lambda b: {"key": b.column(0), "ids": [list(map(int, x.split(","))) if (x := bpe.encode(t or "")) else [] for t in b.column(1).to_pylist()]}
 
     return map_batches(docs.select(key, text), make, f"key {docs.schema[key].dataType.simpleString()}, ids array<int>").withColumnRenamed("key", key)
@@ -116,7 +123,7 @@ def decode(frame: DataFrame, path: str, *, key: str = "doc_id", ids: str = "ids"
     """key and the text of each id array (null: empty)."""
 
     def make():
-        bpe = ForcedBoundaryBPE(path)
+        bpe = byte_pairs(path)
         return lambda b: {"key": b.column(0), "text": [bpe.decode(",".join(map(str, x or []))) for x in b.column(1).to_pylist()]}
 
     return map_batches(frame.select(key, ids), make, f"key {frame.schema[key].dataType.simpleString()}, text string").withColumnRenamed("key", key)
