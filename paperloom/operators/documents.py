@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom import schemas
 from paperloom.functions.detection import SECTION_IDS, analyze
 
+from .rows import map_rows
+
 #: Items whose baselines differ by more are on different lines.
 GAP = 3.0
 
@@ -64,32 +65,18 @@ def analyze_documents(docs: DataFrame, ids: Sequence[str] = SECTION_IDS) -> Data
     """
     chosen = tuple(ids)
 
-    def plain(x):
-        return x.asDict(recursive=True) if hasattr(x, "asDict") else dict(x)
-
-    def run(frames):
-        for f in frames:
-            out = []
-            for doc_id, pages, lines, links in zip(f["doc_id"], f["pages"], f["lines"], f["annotations"], strict=True):
-                row = {"doc_id": doc_id, "pages": None if pages is None or pd.isna(pages) else int(pages), "has_text": False, "statements": [], "dois": [], "repository_links": [], "error": None}
-                try:
-                    rows = [plain(x) for x in (lines if lines is not None else [])]
-                    for x in rows:
-                        x["runs"] = [plain(r) for r in (x["runs"] if x.get("runs") is not None else [])]
-                        x["boxes"] = list(x["boxes"]) if x.get("boxes") is not None else []
-                        if x["text"] is None or x["page"] is None:
-                            raise ValueError("a line has no text or page")
-                    notes = [plain(x) | {"rect": None if x["rect"] is None else list(x["rect"])} for x in (links if links is not None else [])]
-                    if any(x["url"] is None for x in notes):
-                        raise ValueError("a link has no address")
-                except ValueError as e:
-                    row["error"] = str(e)
-                else:
-                    row |= analyze(rows, notes, chosen)
-                out.append(row)
-            yield pd.DataFrame(out, columns=["doc_id", "pages", "has_text", "statements", "dois", "repository_links", "error"])
-
-    return docs.select("doc_id", "pages", "lines", "annotations").mapInPandas(run, schemas.ANALYSIS)
+    def run(doc):
+        row = {"doc_id": doc["doc_id"], "pages": doc["pages"], "has_text": False, "statements": [], "dois": [], "repository_links": [], "error": None}
+        lines, links = doc["lines"] or [], doc["annotations"] or []
+        for x in lines:
+            x["runs"], x["boxes"] = x.get("runs") or [], x.get("boxes") or []
+        if any(x["text"] is None or x["page"] is None for x in lines):
+            return row | {"error": "a line has no text or page"}
+        if any(x["url"] is None for x in links):
+            return row | {"error": "a link has no address"}
+        return row | analyze(lines, links, chosen)
+
+    return map_rows(docs.select("doc_id", "pages", "lines", "annotations"), run, schemas.ANALYSIS)
 
 
 def file_results(analysis: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
