@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from paperloom.storage import cut
 
+#: Rows that one task of a join and its grouping takes in the mean, and the number of such parts up to which nothing is dealt.
+ROWS_OF_A_PART, SMALL = 500_000, 4
+
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per ``keys``: the first by ``order``. Partial aggregation, no window sort."""
@@ -61,6 +64,20 @@ def member_counts(df: DataFrame, member: str, item: str, available: Column) -> D
     return once.groupBy(member).agg(F.count(F.lit(1)).alias("items"), F.count_if("ok").alias("available"))
 
 
+def in_parts(left: DataFrame, right: DataFrame, on: str, most: int = ROWS_OF_A_PART) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join dealt by its key, in so many parts that none has many rows of ``left``.
+
+    A part is sorted and grouped in one task's memory; by the session's number
+    of partitions alone it would grow with the table. Small tables are left
+    to the optimizer.
+    """
+    spark = left.sparkSession
+    parts = -(-left.count() // most)
+    if parts <= min(int(spark.conf.get("spark.sql.shuffle.partitions")), SMALL):
+        return left, right
+    return left.repartition(parts, on), right.repartition(parts, on)
+
+
 def label_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
